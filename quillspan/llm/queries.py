@@ -24,3 +24,12 @@ FROM documents
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.minhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), percent=85, words_per=5)
+
+
+QUERIES["op2_near_dedup"] = op2_near_dedup
