@@ -40,8 +40,20 @@ def partitions(spark: SparkSession) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate: file bytes for a plain scan. Only for choosing numbers of buckets."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def text_or_empty(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+#: Stands for a null id inside pandas code, where a null would turn all ids of a batch to floats.
+NO_ID = -(1 << 63)
+
+
+def id_in(id_col: str = "doc_id") -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def id_out(col: str = "id") -> Column:
+    return F.when(F.col(col) != F.lit(NO_ID), F.col(col))

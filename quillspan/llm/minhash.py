@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import stored
+from quillspan.llm.common import id_in, id_out, stored
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 LOG_DOUBT = float(-np.log(1e-9) / 2)
@@ -124,7 +124,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                     rows.append((0, None, None, 0))
             yield pd.concat([b[["id"]], pd.DataFrame(rows, columns=["n", "digest", "regs", "own"], index=b.index)], axis=1)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, n long, digest binary, regs binary, own int")
+    return docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, n long, digest binary, regs binary, own int").withColumn("id", id_out())
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:

@@ -33,3 +33,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_near_dedup"] = op2_near_dedup
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"), length=50).drop("spans")
+
+
+QUERIES["op8_suffix_dedup"] = op8_suffix_dedup
