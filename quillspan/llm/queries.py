@@ -57,3 +57,30 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_best_fit_packing"] = op5_best_fit_packing
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, *langid.train(docs.filter(~langid.held_out())))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> dict | None:
+    from quillspan.llm import toxicity
+    from quillspan.llm.langid import held_out
+
+    return toxicity.fit(toxicity.training_sample(table(spark, sf_dir, "documents").filter(~held_out()), table(spark, sf_dir, "labels").filter(~held_out())))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quillspan.llm import toxicity
+    from quillspan.llm.langid import held_out
+
+    out = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
+QUERIES |= {"op10_language_id": op10_language_id, "op9_toxicity": op9_toxicity}
