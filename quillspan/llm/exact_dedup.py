@@ -1,8 +1,10 @@
 """Exact dedup by content sort, in DataFrame operations only.
 
-Rows are range-partitioned on their whole normalised text with splitters that Spark samples
+Rows are range-partitioned on their normalised text with splitters that Spark samples
 (repartitionByRange), sorted externally within each partition, and equal neighbours are compared in
-full by the sort-based window that runs over that order; no second exchange moves the text.
+full by the sort-based window that runs over that order; no second exchange moves the text. A
+splitter holds the text's first 64 characters and a hash of the whole, so that the sample that the
+driver gathers has rows of bounded size; the sort and the comparison take the whole text.
 
 A text with more rows than half a partition's share is hot. There are at most 2 x partitions such
 texts, so their hashes fit a broadcast of known size. Rows of a hot text get a salt from their id
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.common import partitions, text_or_empty
 
-ROW, TEXT, HASH, SALT = "__row", "__text", "__hash", "__salt"
+ROW, TEXT, HASH, SALT, HEAD = "__row", "__text", "__hash", "__salt", "__head"
+SPLITTER_CHARS = 64
 
 
 def _runs(rows: DataFrame, keep: str) -> DataFrame:
@@ -32,11 +35,12 @@ def _runs(rows: DataFrame, keep: str) -> DataFrame:
     counts = rows.groupBy(HASH).count()
     total = rows.select(F.count(F.lit(1)).alias("total"))
     hot = counts.join(F.broadcast(total), F.col("count") > F.col("total") / (2 * p)).filter("count > 64").select(HASH, F.lit(True).alias("__hot"))
-    salted = rows.join(F.broadcast(hot), HASH, "left").withColumn(SALT, F.when(F.col("__hot"), F.pmod(F.xxhash64(F.col(f"{ROW}.id"), F.lit(7)), F.lit(4 * p)))).drop(HASH, "__hot")
-    run = Window.partitionBy(TEXT, SALT)
+    salted = rows.join(F.broadcast(hot), HASH, "left").withColumn(SALT, F.when(F.col("__hot"), F.pmod(F.xxhash64(F.col(f"{ROW}.id"), F.lit(7)), F.lit(4 * p)))).drop("__hot")
+    # head and hash follow from the text, so rows of one text and salt meet, and the window needs no exchange
+    run = Window.partitionBy(HEAD, HASH, SALT, TEXT)
     best = F.col(f"{ROW}.id").asc_nulls_last() if keep == "smallest" else F.col(f"{ROW}.id").desc_nulls_last()
     return (
-        salted.repartitionByRange(F.col(TEXT), F.col(SALT))
+        salted.withColumn(HEAD, F.substring(TEXT, 1, SPLITTER_CHARS)).repartitionByRange(HEAD, HASH, SALT)
         .withColumn("__rn", F.row_number().over(run.orderBy(best)))
         .withColumn("__keep", F.first(f"{ROW}.id").over(run.orderBy(best)))
         .withColumn("__size", F.count(F.lit(1)).over(run))

@@ -84,3 +84,45 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_language_id": op10_language_id, "op9_toxicity": op9_toxicity}
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.line_dedup import strip_boilerplate
+
+    return strip_boilerplate(table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = r"""
+WITH cut AS (
+  SELECT page_id, coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host,
+         replace(replace(replace(replace(replace(replace(replace(replace(
+           regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+             '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'),
+             '(?i)</?(?:p|div|br|li|ul|ol|nav|header|footer|article|section|aside|main|table|tr|td|th|h[1-6]|title|head|body|html|form|pre|blockquote)(?:\s[^>]*)?/?>', chr(10), 'g'),
+             '<[^>]*>', '', 'g'),
+           '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t
+  FROM pages),
+rows AS (
+  SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\x0B\f]+', ' ', 'g'))), lambda x: x <> '') AS lines
+  FROM cut),
+totals AS (SELECT host, count(*) AS host_pages FROM rows GROUP BY host),
+seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM rows) GROUP BY host, line),
+often AS (SELECT host, list(line) AS often FROM seen JOIN totals USING (host) WHERE host_pages >= 4 AND n >= 2 AND n > 0.3 * host_pages GROUP BY host),
+kept AS (
+  SELECT page_id, host, host_pages, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(often, []), x)) AS good
+  FROM rows JOIN totals USING (host) LEFT JOIN often USING (host))
+SELECT page_id, host, host_pages, len(lines) AS n_lines, len(lines) - len(good) AS n_dropped, array_to_string(good, chr(10)) AS text FROM kept
+"""
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quillspan.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs)).withColumn("kept", F.col("score") >= 0.5)
+
+
+QUERIES |= {"op3_line_dedup": op3_line_dedup, "op4_quality": op4_quality}
+ORACLE_SQL["op3_line_dedup"] = OP3_SQL
