@@ -126,3 +126,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op3_line_dedup": op3_line_dedup, "op4_quality": op4_quality}
 ORACLE_SQL["op3_line_dedup"] = OP3_SQL
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES |= {"op6_decontamination": op6_decontamination, "pipeline": pipeline}
