@@ -141,3 +141,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_decontamination": op6_decontamination, "pipeline": pipeline}
+
+#: For the registered query only; a real run passes a secret of its own.
+SURROGATE_KEY = b"quillspan"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.surrogates import with_surrogates
+
+    return with_surrogates(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+QUERIES["op7_pii_surrogates"] = op7_pii_surrogates
