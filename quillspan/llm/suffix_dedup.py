@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import NO_ID, id_in, id_out, input_bytes
 
 GRAM = 16
-#: Bytes of input behind one group of minimizers, and of text that a worker holds at a time.
-GROUP_BYTES, BATCH_BYTES, CHUNK_BYTES = 4 << 20, 16 << 20, 1 << 19
+#: Bytes of input behind one group of minimizers and one group of runs; of text that a worker holds at a time.
+GROUP_BYTES, RUN_GROUP_BYTES, BATCH_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20, 6 << 20, 1 << 19
 MASK48 = np.uint64((1 << 48) - 1)
 
 
@@ -166,18 +166,19 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = []
             for t in f["text"]:
                 b = (t or "").encode("utf-8", "surrogatepass")
-                sha = hashlib.sha256(b).digest()
-                rows.append((int.from_bytes(sha[:8], "little", signed=True), len(b), sha.hex(), zipper.compress(b)))
-            yield pd.concat([f[["id"]], pd.DataFrame(rows, columns=["key", "n", "sha", "z"], index=f.index)], axis=1)
+                rows.append((len(b), hashlib.sha256(b).hexdigest(), zipper.compress(b)))
+            yield pd.concat([f[["id"]], pd.DataFrame(rows, columns=["n", "sha", "z"], index=f.index)], axis=1)
 
-    return docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, key long, n long, sha string, z binary")
+    rows = docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, n long, sha string, z binary")
+    # keys that can't be null: a filter for nulls in some joins only would give each of them an exchange of its own
+    return rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.xxhash64("sha").alias("key"), "n", "sha", "z")
 
 
 def _minimizers(length: int, groups: int):
     """Rows for the groups of minimizers, and (group -1) minimizers that this batch already shows to be shared."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, texts in _batches(frames):
+        for rows, texts in _batches(f[f["lead"].eq(True) & (f["n"] >= length)] for f in frames):
             ids, keys = rows["id"].to_numpy(), rows["key"].to_numpy()
             found = [(np.asarray(at)[k], h) for at, data, s, e in _chunks(texts, length) for k, _, _, h in [minimizer_runs(data, s, e, length)]]
             if not found:
@@ -235,9 +236,9 @@ def _runs(length: int, groups: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         zipper = zstandard.ZstdCompressor(level=1)
-        for rows, texts in _batches(frames):
+        for rows, texts in _batches(f[f["six"].notna()] for f in frames):
             ids, keys = rows["id"].to_numpy(), rows["key"].to_numpy()
-            want = [_from_six(b"".join(x)) if x is not None else np.empty(0, np.uint64) for x in rows["six"]]
+            want = [_from_six(b"".join(x)) for x in rows["six"]]
             best: dict[bytes, int] = {}
             found: list[tuple[int, int, bytes, int]] = []
             for at, data, s, e in _chunks(texts, length):
@@ -318,16 +319,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if asked for, the remaining bytes as kept_text (invalid UTF-8 replaced)."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    groups = max(8, math.ceil(input_bytes(docs) / GROUP_BYTES))
+    size = input_bytes(docs)
+    groups, run_groups = (max(8, math.ceil(size / x)) for x in (GROUP_BYTES, RUN_GROUP_BYTES))
     packed = _packed(docs, id_col, text_col)
-    first = packed.filter(F.col("id") != F.lit(NO_ID)).groupBy("sha").agg(F.min("id").alias("first"), F.first("key").alias("key")).withColumnRenamed("first", "id").select("id", "key", F.lit(True).alias("lead"))
+    own_text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    first = docs.select(id_in(id_col).alias("id"), F.sha2(own_text, 256).alias("sha")).filter(F.col("id") != F.lit(NO_ID)).groupBy("sha").agg(F.min("id").alias("id"))
+    first = first.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.xxhash64("sha").alias("key"), F.lit(True).alias("lead"))
+    # all three joins with packed take all its columns, so that one exchange of the texts serves them
     whole = packed.join(first, ["id", "key"], "left")
-    lead = whole.filter(F.col("lead") & (F.col("n") >= length))
-    minimizers = lead.select("id", "key", "z").mapInPandas(_minimizers(length, groups), "g long, ids binary, keys binary, blob binary")
+    minimizers = whole.mapInPandas(_minimizers(length, groups), "g long, ids binary, keys binary, blob binary")
     own = minimizers.filter("g < 0").select("ids", "keys", "blob").mapInPandas(_own, "id long, key long, six binary")
     met = minimizers.filter("g >= 0").groupBy("g").applyInPandas(_shared, "id long, key long, six binary")
     wanted = own.unionByName(met).groupBy("id", "key").agg(F.collect_list("six").alias("six"))
-    runs = packed.select("id", "key", "z").join(wanted, ["id", "key"]).select("id", "key", "z", "six").mapInPandas(_runs(length, groups), "g long, id long, key long, blob binary")
+    runs = packed.join(wanted, ["id", "key"], "left").mapInPandas(_runs(length, run_groups), "g long, id long, key long, blob binary")
     settled = runs.filter("g < 0").select("id", "key", "blob")
     matches = runs.filter("g >= 0").groupBy("g").applyInPandas(_matches(length), "id long, key long, blob binary")
     spans = settled.unionByName(matches).groupBy("id", "key").agg(F.collect_list("blob").alias("spans"))
