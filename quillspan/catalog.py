@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillspan.plans import data, metrics, spans
+
+MODULES = (spans, metrics, data)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -1 +1 @@
-"""Part of quillspan."""
+"""Registered queries of the engine, each with the SQL that it is held against."""
