@@ -45,19 +45,18 @@ def line_context(text: Column, start: Column, end: Column) -> Column:
     return F.lower(F.concat(line_prefix(text, start), F.substring(text, start + 1, end - start), F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1)))
 
 
+def _any_of(markers: list[str]) -> str:
+    return "|".join("\\Q" + m + "\\E" for m in markers)
+
+
 def contains_any(context: Column, markers: list[str]) -> Column:
-    out = F.lit(False)
-    for m in markers:
-        out = out | F.contains(context, F.lit(m))
-    return out
+    """One pattern for all markers: a chain of tests would repeat the context's expression for each."""
+    return context.rlike(_any_of(markers))
 
 
 def after_reset(context: Column, markers: list[str]) -> Column:
     """What stands after the last of the markers; all of it without one."""
-    low = F.lower(context)
-    ends = [F.when(F.contains(low, F.lit(m)), F.length(context) - F.length(F.substring_index(low, m, -1))).otherwise(F.lit(0)) for m in markers]
-    last = F.greatest(*ends) if len(ends) > 1 else ends[0]
-    return F.substring(context, last + 1, F.length(context))
+    return F.regexp_replace(context, f"(?is)^.*(?:{_any_of(markers)})", "")
 
 
 def collapsed(text: Column) -> Column:

@@ -245,3 +245,36 @@ def pol_05(spark, d):
     by = redact.decision(F.when(c % 2 == 0, (c % 100) / 100.0), F.lit(0.3), F.lit(0.8))
     action = F.when(p.startswith("1"), "redact").when(p.startswith("2"), "review")
     return fx.read(spark, d, "orders").select(o.alias("id"), redact.applied_policy(o % 13 == 0, F.when(o % 7 == 0, "why"), own, by, action, "review").alias("decision"))
+
+
+def _pipeline(spark, d):
+    from quillspan.operators import rules
+
+    x = fx.detected(spark, d)
+    full = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), s["value"].alias("value"), s["confidence"].alias("confidence"), F.lit(None).cast("string").alias("decision"), s["source"].alias("source"), F.array().cast("array<string>").alias("notes")))
+    return rules.postprocessed(x.withColumn("spans", full))
+
+
+@query("pol_01_pipeline")
+def pol_01(spark, d):
+    """Detection, rules, false positives, overlap and redaction of all documents."""
+    x = _pipeline(spark, d)
+    return x.select("doc_id", redact.redacted(F.col("text"), F.col("spans")).alias("redacted_text"), F.size("spans").alias("n_spans"))
+
+
+@query("ctx_07_false_positives", f"""WITH {fx.SQL_DETECTED} SELECT doc_id, s AS "start", type FROM found f WHERE NOT (type='IP' AND list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT))) <= 255
+  AND regexp_matches(value, '^(10[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.]|127[.])'))""")
+def ctx_07(spark, d):
+    """What the drop leaves; no driver document has one of the marker contexts, so private addresses go only."""
+    from quillspan.operators import rules
+
+    kept = F.filter("spans", lambda s: ~rules.is_false_positive(F.col("text"), s))
+    return fx.detected(spark, d).select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.start", "x.type")
+
+
+@query("det_04_rescue_rules")
+def det_04(spark, d):
+    from quillspan.operators import rules
+
+    docs = fx.read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", F.explode(rules.contextual(F.col("text"))).alias("x")).select("doc_id", "x.*")
