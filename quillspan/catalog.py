@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspan.plans import data, metrics, spans
+from quillspan.plans import data, metrics, more, spans
 
-MODULES = (spans, metrics, data)
+MODULES = (spans, metrics, data, more)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.SQL.items()}
