@@ -122,7 +122,7 @@ def det_02(spark, d):
 @query("ctx_14_checked_candidates", f"""WITH {fx.SQL_DETECTED},
   card AS (SELECT *, list_sum(list_transform(generate_series(1, length(value)), lambda i: CASE WHEN (length(value) - i) % 2 = 0 THEN CAST(value[i] AS INT) WHEN CAST(value[i] AS INT) < 5 THEN 2*CAST(value[i] AS INT) ELSE 2*CAST(value[i] AS INT) - 9 END)) AS luhn FROM found WHERE type = 'CARD')
   SELECT doc_id, s AS "start", type, luhn % 10 = 0 AS valid FROM card
-  UNION ALL SELECT doc_id, s, type, list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT))) <= 255 AND NOT regexp_matches(value, '(^|[.])0[0-9]') FROM found WHERE type = 'IP'
+  UNION ALL SELECT doc_id, s, type, list_max(list_transform(string_split(value, '.'), lambda x: TRY_CAST(x AS INT))) <= 255 AND NOT regexp_matches(value, '(^|[.])0[0-9]') FROM found WHERE type = 'IP'
   UNION ALL SELECT doc_id, s, type, true FROM found WHERE type = 'EMAIL'""")
 def ctx_14(spark, d):
     x = fx.detected(spark, d).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*")
@@ -157,7 +157,7 @@ def det_14(spark, d):
 
 
 @query("ctx_13_format_candidates", f"""WITH {fx.SQL_DETECTED} SELECT doc_id, s AS "start", value, CASE type WHEN 'EMAIL' THEN 'EMAIL_ADDRESS' WHEN 'IP' THEN 'IP_ADDRESS' ELSE 'PAYMENT_CARD_NUMBER' END AS shape FROM found
-  WHERE type = 'EMAIL' OR (type = 'IP' AND list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT))) <= 255 AND NOT regexp_matches(value, '(^|[.])0[0-9]'))""")
+  WHERE type = 'EMAIL' OR (type = 'IP' AND list_max(list_transform(string_split(value, '.'), lambda x: TRY_CAST(x AS INT))) <= 255 AND NOT regexp_matches(value, '(^|[.])0[0-9]'))""")
 def ctx_13(spark, d):
     x = fx.detected(spark, d).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.start", "x.value", "x.type")
     return x.filter("type <> 'CARD'").withColumn("shapes", checks.format_candidates(F.col("value"))).select("doc_id", "start", "value", F.explode(F.filter("shapes", lambda c: c.isin("EMAIL_ADDRESS", "IP_ADDRESS"))).alias("shape"))
@@ -262,7 +262,7 @@ def pol_01(spark, d):
     return x.select("doc_id", redact.redacted(F.col("text"), F.col("spans")).alias("redacted_text"), F.size("spans").alias("n_spans"))
 
 
-@query("ctx_07_false_positives", f"""WITH {fx.SQL_DETECTED} SELECT doc_id, s AS "start", type FROM found f WHERE NOT (type='IP' AND list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT))) <= 255
+@query("ctx_07_false_positives", f"""WITH {fx.SQL_DETECTED} SELECT doc_id, s AS "start", type FROM found f WHERE NOT (type='IP' AND list_max(list_transform(string_split(value, '.'), lambda x: TRY_CAST(x AS INT))) <= 255
   AND regexp_matches(value, '^(10[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.]|127[.])'))""")
 def ctx_07(spark, d):
     """What the drop leaves; no driver document has one of the marker contexts, so private addresses go only."""
