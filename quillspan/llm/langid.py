@@ -11,7 +11,6 @@ ties go to the language first in order; null labels are not learned from.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +21,14 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import id_in, id_out
 
 BUCKETS = 1 << 15
-LETTER = re.compile(r"[^\W\d_]")
 #: Characters that are handled at once; longer texts are added up piece by piece.
 PIECE = 1 << 18
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def held_out(id_col: str = "doc_id", of: int = 4, rest: int = 2) -> Column:
     """Rows that no label is learned from: crc32 of the id as text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(of)) == rest
@@ -62,7 +64,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
         sums: dict[str, np.ndarray] = {}
         for f in frames:
             for label, text in zip(f["label"], f["text"], strict=True):
-                if not text or not LETTER.search(text):
+                if not text or not has_letter(text):
                     continue
                 v = sums.setdefault(label, np.zeros(BUCKETS + 1, np.int64))
                 v[BUCKETS] += 1
@@ -106,7 +108,7 @@ def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, id_col:
         for f in frames:
             rows = []
             for text in f["text"]:
-                if not languages or not text or not LETTER.search(text):
+                if not languages or not text or not has_letter(text):
                     rows.append(("und", 0.0))
                     continue
                 s = text_scores(text, matrix)
