@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,12 @@ def id_in(id_col: str = "doc_id") -> Column:
 
 def id_out(col: str = "id") -> Column:
     return F.when(F.col(col) != F.lit(NO_ID), F.col(col))
+
+
+def worker_state(name: str, make: Callable):
+    """An object kept for the life of a Python worker, so that its tasks share a cache. Only for caches of pure
+    functions: a new worker makes its own."""
+    state = sys.__dict__.setdefault("_quillspan_state", {})
+    if name not in state:
+        state[name] = make()
+    return state[name]

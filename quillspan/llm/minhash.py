@@ -13,10 +13,14 @@
    ratio of sizes) and the collision-corrected estimate (rejected only below a Hoeffding bound of
    1e-9), then the whole sets are compared.
 5. Links form components by min-label propagation with pointer jumping over stored tables.
-6. The exact rest: a group that now spans more than one component pairs its members outside the
-   pivot's component with members of other components, and these pass step 4 too. Pairs within one
-   component need no check: they can't change it. No link between different texts is lost, and a
-   group of near copies costs one pair for each member.
+6. The exact rest: in a group that now spans more than one component, members outside the pivot's
+   component can still be linked with members of other components (pairs within a component can't
+   change it). Those pairs come from a prefix filter over whole sets: in one order of all shingles,
+   rare ones first, two sets with enough in common share a shingle among the first of both, early
+   enough for the rest to suffice. Any order is right; a count table of fixed size makes it a good
+   one. Copies that differ too much from one another share common shingles only, late in that
+   order, so a large group of them yields few pairs. What passes is compared in full.
+   No link between different texts is lost, and a group of near copies costs one pair for each member.
 
 Defined results: null text and text without words have no shingles, are linked with nothing and are
 kept. A null id is kept, without a component. Rows that repeat an id are one node of the graph.
@@ -35,6 +39,8 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import id_in, id_out, stored
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
+#: Entries of the table of shingle counts that orders shingles by rarity.
+COUNTS = 1 << 18
 LOG_DOUBT = float(-np.log(1e-9) / 2)
 
 
@@ -161,6 +167,53 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, words_per: int) ->
     return both.mapInPandas(run, "a long, b long").distinct()
 
 
+def _rarity(texts: DataFrame, words_per: int) -> np.ndarray:
+    """How many of the texts have a shingle of each of COUNTS hash values; tasks' tables are added in two steps."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, table = WordHashes(), np.zeros(COUNTS, np.int64)
+        for b in batches:
+            for t in b["text"]:
+                table += np.bincount((shingle_set(t, words_per, hashes) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+        yield pd.DataFrame({"v": [table.tobytes()]})
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros(COUNTS, np.int64)
+        for v in f["v"]:
+            table += np.frombuffer(v, np.int64)
+        return pd.DataFrame({"v": [table.tobytes()]})
+
+    tables = texts.select("text").mapInPandas(count, "v binary").withColumn("s", F.spark_partition_id() % 32)
+    summed = tables.groupBy("s").applyInPandas(lambda f: add(f), "v binary").withColumn("s", F.lit(0)).groupBy("s").applyInPandas(lambda f: add(f), "v binary").collect()
+    return np.frombuffer(summed[0]["v"], np.int64) if summed else np.zeros(COUNTS, np.int64)
+
+
+def _rest(sides: DataFrame, texts: DataFrame, percent: int, words_per: int) -> DataFrame:
+    """Pairs (a, b) of different components, one of them at least apart, that a prefix filter over whole sets can't rule
+    out. sides: id, comp, apart."""
+    rows = stored(texts.join(sides, "id"))
+    rarity = _rarity(rows, words_per)
+
+    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for f in batches:
+            out = []
+            for i, comp, apart, t in zip(f["id"], f["comp"], f["apart"], f["text"], strict=True):
+                s = shingle_set(t, words_per, hashes)
+                n = len(s)
+                if n:
+                    first = n - -(-percent * n // 100) + 1
+                    s = s[np.lexsort((s, rarity[(s % np.uint64(COUNTS)).astype(np.int64)]))][:first]
+                    out.append(pd.DataFrame({"shingle": s.view(np.int64), "id": i, "comp": comp, "apart": apart, "n": n, "left": n - np.arange(len(s))}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    found = rows.select("id", "comp", "apart", "text").mapInPandas(prefix, "shingle long, id long, comp long, apart boolean, n long, left long")
+    a, b = (found.select("shingle", *[F.col(c).alias(x + c) for c in ("id", "comp", "apart", "n", "left")]) for x in "ab")
+    both = a.filter("aapart").join(b, "shingle").filter(f"acomp <> bcomp AND 100 * least(an, bn) >= {percent} * greatest(an, bn) AND {100 + percent} * least(aleft, bleft) >= {percent} * (an + bn)")
+    return both.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
+
+
 def components(links: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """(id, comp): the smallest id that links (a, b) reach, for each id that has a link.
     Each round takes the least label of all neighbours, then the label of the label. first: labels so far."""
@@ -201,16 +254,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = components(links)
     labelled = stored(grouped.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     of_pivot = labelled.filter("id = pivot").select("key", F.col("comp").alias("pcomp"))
-    apart = labelled.join(of_pivot, "key").filter("comp <> pcomp")
-    split = apart.select("key").distinct()
-    sides = labelled.join(split, "key", "left_semi").select("key", F.col("id").alias("b"), F.col("comp").alias("bcomp"), F.col("pivot"))
-    rest = apart.select("key", F.col("id").alias("a"), F.col("comp").alias("acomp")).join(sides, "key").filter("acomp <> bcomp AND b <> pivot")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(_likely(rest, reps, percent))
-    if not more.isEmpty():
-        again = stored(_links(more, texts, percent, words_per))
-        if not again.isEmpty():
-            comp = components(again.unionByName(links), comp)
+    groups = labelled.join(of_pivot, "key").withColumn("apart", F.col("comp") != F.col("pcomp"))
+    split = groups.filter("apart").select("key").distinct()
+    sides = stored(groups.join(split, "key", "left_semi").groupBy("id").agg(F.max("comp").alias("comp"), F.max("apart").alias("apart")))
+    if not sides.isEmpty():
+        more = stored(_links(_rest(sides, texts, percent, words_per), texts, percent, words_per))
+        if not more.isEmpty():
+            comp = components(more.unionByName(links), comp)
     by_digest = reps.select("digest", F.col("id").alias("rep")).join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     out = all_sk.select("id", "n", "digest").join(by_digest, "digest", "left")
     # rows that repeat an id with different texts are one node: the id takes its least component
