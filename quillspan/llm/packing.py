@@ -17,15 +17,18 @@ from __future__ import annotations
 
 import bisect
 import math
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import id_in, id_out, stored
+from quillspan.llm.common import id_in, id_out, stored, worker_state
 
 #: Pieces that one task packs together.
 BLOCK = 20_000
@@ -34,23 +37,65 @@ SEARCH_BINS = 400
 
 
 class WordIds(dict):
-    """Token ids (little-endian 32-bit) of space-delimited words, kept up to a bounded size."""
+    """Token ids (little-endian 32-bit) of space-delimited words, kept up to a bounded size.
 
-    LIMIT = 400_000
+    A word of letters and closing punctuation is the ids of its letters and those of its punctuation. Letters go to the
+    model itself, spelled as the tokenizer's byte-level step does (lower case, a character for each byte), which
+    spares the whole encoder's work; this holds for a tokenizer of that kind only, and else the encoder is used."""
+
+    LIMIT = 700_000
+    #: ASCII marks, of which any row behind letters is one part to the tokenizer (an apostrophe can begin another part).
+    CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = [b for b in range(256) if b not in plain]
+        self.spelling = {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.direct = all([t.id for t in tokenizer.model.tokenize(self.spelled(w.lower()))] == tokenizer.encode(w, add_special_tokens=False).ids for w in ("The", "naïveté", "straße", "ночь", "ELLE", "日本"))
+
+    def spelled(self, low: str) -> str:
+        return low.encode().decode("latin-1").translate(self.spelling)
+
+    def singly(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+            self[w] = np.array(e.ids, "<u4").tobytes()
 
     def fill(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.LIMIT:
+        new = [w for w in words if w not in self]  # difference() would go through all of a dict's subclass
+        if len(self) + 2 * len(new) > self.LIMIT:
             self.clear()
-            new = list(words)
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            new = words
+        closing, model, pack = self.CLOSING, self.tokenizer.model.tokenize, struct.pack
+        odd, mixed = set(), []
+        for w in new:
+            if w.isalpha():
+                core = w
+            else:
+                core = w.rstrip(closing)
+                if not core.isalpha():
+                    odd.add(w)
+                    continue
+                tail = w[len(core) :]
+                if tail not in self:
+                    self.singly([tail])
+                mixed.append(w)
+                if core in self:
+                    continue
+            low = core.lower()
+            if self.direct and low.isascii():
+                ids = [t.id for t in model(low)]
+                self[core] = pack(f"<{len(ids)}I", *ids)
+            elif self.direct and low.isalpha() and "Σ" not in core and is_normalized("NFC", core) and is_normalized("NFC", low):
+                ids = [t.id for t in model(self.spelled(low))]
+                self[core] = pack(f"<{len(ids)}I", *ids)
+            else:
+                self.singly([core])
+        self.singly(list(odd))
+        for w in mixed:
+            core = w.rstrip(closing)
+            self[w] = self[core] + self[w[len(core) :]]
 
 
 def word_parts(text: str) -> list[str]:
@@ -67,9 +112,12 @@ def tokenised(docs: DataFrame, tokenizer_json: str, max_tokens: int, end_id: int
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_json)
-        tokenizer.encode_special_tokens = True
-        cache, end, step = WordIds(tokenizer), end_id.to_bytes(4, "little"), 4 * max_tokens
+        def cached() -> WordIds:
+            tokenizer = Tokenizer.from_file(tokenizer_json)
+            tokenizer.encode_special_tokens = True
+            return WordIds(tokenizer)
+
+        cache, end, step = worker_state(f"words of {tokenizer_json}", cached), end_id.to_bytes(4, "little"), 4 * max_tokens
         for f in frames:
             parts, size, begin = [], 0, 0
             texts = [t or "" for t in f["text"]]
