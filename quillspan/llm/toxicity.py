@@ -162,7 +162,7 @@ def fit(sample: pd.DataFrame, epochs: int = 6, seed: int = 11) -> dict | None:
     docs = [tokens(t) for t in sample["text"]]
     marks = toxic_marks(docs, labels)
     rng = np.random.default_rng(seed)
-    items = []  # (features of each token, label of each token)
+    items = []  # of each chain: all tokens' features in a row, their number for each token, labels
     known: dict[str, tuple[list[int], int, int, bool]] = {}
     for words, label in zip(docs, labels, strict=True):
         for x in set(words).difference(known):
@@ -172,33 +172,34 @@ def fit(sample: pd.DataFrame, epochs: int = 6, seed: int = 11) -> dict | None:
             y = [int(label and known[w][3]) for w in words[a:z]]
             # clean chains teach little: a share of them is enough
             if any(y) or rng.random() < 0.08:
-                rows = []
+                flat, size = [], []
                 for k in range(a, z):
-                    f = list(known[words[k]][0])
+                    before = len(flat)
+                    flat += known[words[k]][0]
                     if k:
-                        f.append(known[words[k - 1]][1])
+                        flat.append(known[words[k - 1]][1])
                     if k + 1 < len(words):
-                        f.append(known[words[k + 1]][2])
-                    rows.append(f)
-                items.append((rows, y))
+                        flat.append(known[words[k + 1]][2])
+                    size.append(len(flat) - before)
+                items.append((np.array(flat, np.int32), np.array(size, np.int8), np.array(y, np.int8)))
+    del docs, known
     w, g2 = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
     trans, t2 = np.zeros((2, 2)), np.full((2, 2), 1e-3)
     for epoch in range(epochs):
         order = rng.permutation(len(items))
         for at in range(0, len(order), 256):
             batch = [items[k] for k in order[at : at + 256]]
-            n = np.array([len(y) for _, y in batch])
+            n = np.array([len(y) for *_, y in batch])
             steps = np.arange(n.max())
             mask = steps < n[:, None]
-            flat = [f for rows, _ in batch for f in rows]
-            size = np.array([len(f) for f in flat])
-            where = np.concatenate([np.asarray(f) for f in flat])
-            token = np.repeat(np.arange(len(flat)), size)
+            where = np.concatenate([f for f, *_ in batch])
+            size = np.concatenate([k for _, k, _ in batch])
+            token = np.repeat(np.arange(len(size)), size)
             e = np.zeros(mask.shape)
-            e[mask] = np.bincount(token, w[where], minlength=len(flat))
+            e[mask] = np.bincount(token, w[where], minlength=len(size))
             margin, pair, _ = forward_backward(e, trans, mask)
             y = np.zeros(mask.shape)
-            y[mask] = np.concatenate([np.asarray(v, float) for _, v in batch])
+            y[mask] = np.concatenate([v for *_, v in batch])
             err = (y - margin)[mask]
             grad = np.bincount(where, err[token], minlength=BUCKETS) - 1e-4 * w
             touched = np.unique(where)
