@@ -34,8 +34,11 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import NO_ID, id_in, id_out, input_bytes
 
 GRAM = 16
-#: Bytes of input behind one group of minimizers and one group of runs; of text that a worker holds at a time.
-GROUP_BYTES, RUN_GROUP_BYTES, BATCH_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20, 6 << 20, 1 << 19
+#: Bytes of input behind one group of minimizers and one group of runs; of text that a worker holds at a time. Groups of
+#: minimizers are so small that a document's shared ones mostly lie in groups of their own at any size of input.
+GROUP_BYTES, RUN_GROUP_BYTES, BATCH_BYTES, CHUNK_BYTES = 1 << 21, 3 << 19, 3 << 20, 1 << 18
+#: Begins what a batch has settled by itself; neither a compressed frame nor a frame's length begins so.
+OWN = b"OWN!"
 MASK48 = np.uint64((1 << 48) - 1)
 
 
@@ -149,6 +152,10 @@ def _groups(*keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], n], strict=True))
 
 
+def _sized(b: bytes) -> bytes:
+    return len(b).to_bytes(4, "little") + b
+
+
 def _six(h: np.ndarray) -> bytes:
     return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -175,7 +182,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _minimizers(length: int, groups: int):
-    """Rows for the groups of minimizers, and (group -1) minimizers that this batch already shows to be shared."""
+    """Rows for the groups of minimizers; those that this batch already shows to be shared go along, marked OWN."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, texts in _batches(f[f["lead"].eq(True) & (f["n"] >= length)] for f in frames):
@@ -198,14 +205,14 @@ def _minimizers(length: int, groups: int):
             order = np.argsort(d, kind="stable")
             d, x = d[order], x[order]
             for a, z in _groups(d):
-                out.append((-1, np.int64(ids[d[a]]).tobytes(), np.int64(keys[d[a]]).tobytes(), _six(x[a:z])))
+                out.append((int(d[a]) % groups, np.int64(ids[d[a]]).tobytes(), np.int64(keys[d[a]]).tobytes(), OWN + _six(x[a:z])))
             d, x = doc[at], h[at]  # of each minimizer the first document
             g = (x % np.uint64(groups)).astype(np.int64)
             order = np.argsort(g, kind="stable")
             g, d, x = g[order], d[order], x[order]
             for a, z in _groups(g):
                 names, at_name = np.unique(d[a:z], return_inverse=True)
-                out.append((int(g[a]), ids[names].tobytes(), keys[names].tobytes(), zstandard.compress(at_name.astype("<u4").tobytes(), 1) + b"|END|" + _six(x[a:z])))
+                out.append((int(g[a]), zstandard.compress(ids[names].tobytes(), 1), keys[names].tobytes(), _sized(zstandard.compress(at_name.astype("<u4").tobytes(), 1)) + _six(x[a:z])))
             yield pd.DataFrame(out, columns=["g", "ids", "keys", "blob"])
 
     return run
@@ -213,12 +220,15 @@ def _minimizers(length: int, groups: int):
 
 def _shared(f: pd.DataFrame) -> pd.DataFrame:
     """Of one group: the minimizers that several documents have, for each of these documents."""
-    h, ids, keys = [], [], []
+    h, ids, keys, out = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
     for i, k, blob in zip(f["ids"], f["keys"], f["blob"], strict=True):
-        names, _, six = blob.partition(b"|END|")
-        at = np.frombuffer(zstandard.decompress(names), "<u4")
-        h.append(_from_six(six))
-        ids.append(np.frombuffer(i, np.int64)[at])
+        if blob.startswith(OWN):
+            out.append((int(np.frombuffer(i, np.int64)[0]), int(np.frombuffer(k, np.int64)[0]), blob[len(OWN) :]))
+            continue
+        n = 4 + int.from_bytes(blob[:4], "little")
+        at = np.frombuffer(zstandard.decompress(blob[4:n]), "<u4")
+        h.append(_from_six(blob[n:]))
+        ids.append(np.frombuffer(zstandard.decompress(i), np.int64)[at])
         keys.append(np.frombuffer(k, np.int64)[at])
     h, ids, keys = np.concatenate(h), np.concatenate(ids), np.concatenate(keys)
     _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
@@ -226,13 +236,12 @@ def _shared(f: pd.DataFrame) -> pd.DataFrame:
     h, ids, keys = h[good], ids[good], keys[good]
     order = np.lexsort((keys, ids))
     h, ids, keys = h[order], ids[order], keys[order]
-    if not len(h):
-        return pd.DataFrame({"id": [], "key": [], "six": []})
-    return pd.DataFrame([(ids[a], keys[a], _six(h[a:z])) for a, z in _groups(ids, keys)], columns=["id", "key", "six"])
+    out += [(int(ids[a]), int(keys[a]), _six(h[a:z])) for a, z in _groups(ids, keys)]
+    return pd.DataFrame(out, columns=["id", "key", "six"])
 
 
 def _runs(length: int, groups: int):
-    """Runs of windows with shared minimizers, packed by group; (group -1) spans settled within the batch."""
+    """Runs of windows with shared minimizers, packed by group; spans settled within the batch go along, marked OWN."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         zipper = zstandard.ZstdCompressor(level=1)
@@ -261,7 +270,7 @@ def _runs(length: int, groups: int):
                     settled.setdefault(doc, []).append((p, p + len(x)))
                 else:
                     sent.setdefault(h % groups, []).append((int(ids[doc]), int(keys[doc]), p, x))
-            out = [(-1, int(ids[d]), int(keys[d]), np.array(v, "<i4").tobytes()) for d, v in settled.items()]
+            out = [(d % groups, int(ids[d]), int(keys[d]), OWN + np.array(v, "<i4").tobytes()) for d, v in settled.items()]
             for g, v in sent.items():
                 meta = np.array([(i, k, p, len(x)) for i, k, p, x in v], np.int64).tobytes()
                 out.append((g, len(v), 0, zipper.compress(meta + b"".join(x for *_, x in v))))
@@ -274,31 +283,35 @@ def _matches(length: int):
     """Of one group: the spans of each document that an earlier one has."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        meta, parts = [], []
-        for n, blob in zip(f["id"], f["blob"], strict=True):
+        meta, parts, out = [np.empty((0, 4), np.int64)], [], []
+        for n, key, blob in zip(f["id"], f["key"], f["blob"], strict=True):
+            if blob.startswith(OWN):
+                out.append((int(n), int(key), blob[len(OWN) :]))
+                continue
             raw = zstandard.decompress(blob)
             meta.append(np.frombuffer(raw, np.int64, int(n) * 4).reshape(-1, 4))
             parts.append(raw[int(n) * 32 :])
         meta = np.concatenate(meta)
         t = np.frombuffer(b"".join(parts), np.uint8)
         sizes = meta[:, 3]
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        starts = np.cumsum(sizes) - sizes
+        if not len(sizes):
+            return pd.DataFrame(out, columns=["id", "key", "blob"])
         rank = suffix_ranks(t, length)
         which = np.repeat(np.arange(len(sizes)), sizes - length + 1)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(sizes - length + 1) - (sizes - length + 1), sizes - length + 1)
         factor = previous_factors(rank[starts[which] + offset], meta[which, 0], length)
         hit = np.flatnonzero(factor >= length)
-        if not len(hit):
-            return pd.DataFrame({"id": [], "key": [], "blob": []})
         w, o = which[hit], offset[hit]
-        cut = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (o[1:] != o[:-1] + 1)]))
-        last = np.concatenate([cut[1:], [len(w)]]) - 1
+        runs = _groups(w, o - np.arange(len(o)))
+        cut, last = np.array([a for a, _ in runs], np.int64), np.array([z - 1 for _, z in runs], np.int64)
         begin = meta[w[cut], 2] + o[cut]
         end = meta[w[cut], 2] + o[last] + length
         ids, keys = meta[w[cut], 0], meta[w[cut], 1]
         order = np.lexsort((keys, ids))
         ids, keys, spans = ids[order], keys[order], np.stack([begin, end], 1)[order].astype("<i4")
-        return pd.DataFrame([(ids[a], keys[a], spans[a:z].tobytes()) for a, z in _groups(ids, keys)], columns=["id", "key", "blob"])
+        out += [(int(ids[a]), int(keys[a]), spans[a:z].tobytes()) for a, z in _groups(ids, keys)]
+        return pd.DataFrame(out, columns=["id", "key", "blob"])
 
     return run
 
@@ -328,13 +341,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # all three joins with packed take all its columns, so that one exchange of the texts serves them
     whole = packed.join(first, ["id", "key"], "left")
     minimizers = whole.mapInPandas(_minimizers(length, groups), "g long, ids binary, keys binary, blob binary")
-    own = minimizers.filter("g < 0").select("ids", "keys", "blob").mapInPandas(_own, "id long, key long, six binary")
-    met = minimizers.filter("g >= 0").groupBy("g").applyInPandas(_shared, "id long, key long, six binary")
-    wanted = own.unionByName(met).groupBy("id", "key").agg(F.collect_list("six").alias("six"))
+    wanted = minimizers.groupBy("g").applyInPandas(_shared, "id long, key long, six binary").groupBy("id", "key").agg(F.collect_list("six").alias("six"))
     runs = packed.join(wanted, ["id", "key"], "left").mapInPandas(_runs(length, run_groups), "g long, id long, key long, blob binary")
-    settled = runs.filter("g < 0").select("id", "key", "blob")
-    matches = runs.filter("g >= 0").groupBy("g").applyInPandas(_matches(length), "id long, key long, blob binary")
-    spans = settled.unionByName(matches).groupBy("id", "key").agg(F.collect_list("blob").alias("spans"))
+    spans = runs.groupBy("g").applyInPandas(_matches(length), "id long, key long, blob binary").groupBy("id", "key").agg(F.collect_list("blob").alias("spans"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unzip = zstandard.ZstdDecompressor()
@@ -360,9 +369,3 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = out.mapInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept_text string")
     out = out.withColumn("id", id_out()).withColumnRenamed("id", id_col)
     return out if with_text else out.drop("kept_text")
-
-
-def _own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        ints = lambda c: np.frombuffer(b"".join(f[c]), np.int64)
-        yield pd.DataFrame({"id": ints("ids"), "key": ints("keys"), "six": f["blob"].to_numpy()})
