@@ -5,7 +5,9 @@ comes to the driver. Labels are of documents, so tokens are labelled first: a wo
 4 to 6 letters, that is far more frequent in toxic documents than in others marks its tokens in toxic
 documents; all other tokens are clean. A two-label field (clean, toxic) over hashed features - word,
 prefixes, suffix, shape, neighbouring words - is fitted to these tokens by Adagrad on the exact
-gradient from forward-backward.
+gradient from forward-backward. Where the bound leaves out labelled documents of a class, the rows that were taken
+weigh the inverse of their class's sampling rate (relative to the whole sample), in this fit and in the curve below,
+so that a score means the same for every size of input.
 
 Scoring: emissions are sums of feature weights (kept for each word), chains are runs of up to CHAIN
 tokens of one document, and forward-backward gives each token's marginal. A document's score comes
@@ -154,34 +156,39 @@ def summary(m: np.ndarray) -> np.ndarray:
     return np.array([np.log(top / (1 - top)), np.log(-np.expm1(none)) - none, np.log1p(m.sum())])
 
 
+def relative_weights(sample: pd.DataFrame) -> np.ndarray:
+    """The rows' inverse sampling rates (ones without the column), scaled to a mean of one."""
+    weight = sample["weight"].to_numpy(float) if "weight" in sample else np.ones(len(sample))
+    return weight / weight.mean()
+
+
 def fit(sample: pd.DataFrame, epochs: int = 6, seed: int = 11) -> dict | None:
-    """The model from rows of text and label; None without both labels."""
+    """The model from rows of text, label and, of a sample, weight; None without both labels."""
     labels = sample["label"].astype(int).tolist()
     if len(set(labels)) < 2:
         return None
+    weights = relative_weights(sample)
     docs = [tokens(t) for t in sample["text"]]
     marks = toxic_marks(docs, labels)
     rng = np.random.default_rng(seed)
-    items = []  # of each chain: all tokens' features in a row, their number for each token, labels
+    items = []  # of each chain: all tokens' features in a row, their number for each token, labels, weight
     known: dict[str, tuple[list[int], int, int, bool]] = {}
-    for words, label in zip(docs, labels, strict=True):
+    for words, label, weight in zip(docs, labels, weights, strict=True):
         for x in set(words).difference(known):
             own = features(x)
             known[x] = ([bucket(f) for f in own], bucket("prev " + own[0]), bucket("next " + own[0]), any(f in marks for f in own))
         for a, z in chains(len(words)):
             y = [int(label and known[w][3]) for w in words[a:z]]
-            # clean chains teach little: a share of them is enough
-            if any(y) or rng.random() < 0.08:
-                flat, size = [], []
-                for k in range(a, z):
-                    before = len(flat)
-                    flat += known[words[k]][0]
-                    if k:
-                        flat.append(known[words[k - 1]][1])
-                    if k + 1 < len(words):
-                        flat.append(known[words[k + 1]][2])
-                    size.append(len(flat) - before)
-                items.append((np.array(flat, np.int32), np.array(size, np.int8), np.array(y, np.int8)))
+            flat, size = [], []
+            for k in range(a, z):
+                before = len(flat)
+                flat += known[words[k]][0]
+                if k:
+                    flat.append(known[words[k - 1]][1])
+                if k + 1 < len(words):
+                    flat.append(known[words[k + 1]][2])
+                size.append(len(flat) - before)
+            items.append((np.array(flat, np.int32), np.array(size, np.int8), np.array(y, np.int8), weight))
     del docs, known
     w, g2 = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
     trans, t2 = np.zeros((2, 2)), np.full((2, 2), 1e-3)
@@ -189,18 +196,19 @@ def fit(sample: pd.DataFrame, epochs: int = 6, seed: int = 11) -> dict | None:
         order = rng.permutation(len(items))
         for at in range(0, len(order), 256):
             batch = [items[k] for k in order[at : at + 256]]
-            n = np.array([len(y) for *_, y in batch])
+            n = np.array([len(y) for _, _, y, _ in batch])
+            share = np.array([x for *_, x in batch])
             steps = np.arange(n.max())
             mask = steps < n[:, None]
-            where = np.concatenate([f for f, *_ in batch])
-            size = np.concatenate([k for _, k, _ in batch])
+            where = np.concatenate([f for f, _, _, _ in batch])
+            size = np.concatenate([k for _, k, _, _ in batch])
             token = np.repeat(np.arange(len(size)), size)
             e = np.zeros(mask.shape)
             e[mask] = np.bincount(token, w[where], minlength=len(size))
             margin, pair, _ = forward_backward(e, trans, mask)
             y = np.zeros(mask.shape)
-            y[mask] = np.concatenate([v for *_, v in batch])
-            err = (y - margin)[mask]
+            y[mask] = np.concatenate([v for _, _, v, _ in batch])
+            err = ((y - margin) * share[:, None])[mask]
             grad = np.bincount(where, err[token], minlength=BUCKETS) - 1e-4 * w
             touched = np.unique(where)
             g2[touched] += grad[touched] ** 2
@@ -208,24 +216,24 @@ def fit(sample: pd.DataFrame, epochs: int = 6, seed: int = 11) -> dict | None:
             yi = y.astype(int)
             real = np.zeros((2, 2))
             both = mask[:, 1:]
-            np.add.at(real, (yi[:, :-1][both], yi[:, 1:][both]), 1)
-            tg = real - pair.sum(axis=(0, 1)) - 1e-3 * trans
+            np.add.at(real, (yi[:, :-1][both], yi[:, 1:][both]), np.broadcast_to(share[:, None], both.shape)[both])
+            tg = real - (pair * share[:, None, None, None]).sum(axis=(0, 1)) - 1e-3 * trans
             t2 += tg**2
             trans += 0.2 * tg / np.sqrt(t2)
     model = {"w": w.astype(np.float32), "trans": trans}
     x = np.array([summary(m) for m in document_marginals(sample["text"].tolist(), Weights(model["w"]), trans)])
-    model["curve"] = _logistic(x, np.array(labels, float))
+    model["curve"] = _logistic(x, np.array(labels, float), weights)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and intercept by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights and intercept by Newton's method, from rows of the given weights."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     b = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         keep = ridge * np.array([1.0] * (x.shape[1] - 1) + [1e-3])
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * b)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (weight * (y - p)) - keep * b)
         b = b + step
         if np.abs(step).max() < 1e-6:
             break
@@ -272,12 +280,16 @@ def score_texts(texts: list[str | None], model: dict | None, weights: Weights |
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: tuple[int, int] = SAMPLE_DOCS) -> pd.DataFrame:
-    """At most so many labelled documents of label 0 and 1, by a hash of the id. The ids are chosen from the small label
-    table, so the bounded list is broadcast and the documents' text is not shuffled."""
+    """At most so many labelled documents of label 0 and 1, by a hash of the id, and the weight of each: all labels of its
+    class in the table over those taken. The ids are chosen from the small label table, so the bounded list is broadcast and
+    the documents' text is not shuffled."""
     known = labels.filter(f"`{label_col}` IN (0, 1)").groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).alias("label"))
+    total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("__id"), "__id").limit(most[y]) for y in (0, 1)]
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(parts[0].unionByName(parts[1])), "__id").select("__id", "text", "label").toPandas().sort_values(["__id", "text"], na_position="first")
+    sample = rows.join(F.broadcast(parts[0].unionByName(parts[1])), "__id").select("__id", "text", "label").toPandas().sort_values(["__id", "text"], na_position="first")
+    sample["weight"] = [max(1.0, total[y] / most[y]) for y in sample["label"]]
+    return sample
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True) -> DataFrame:

@@ -79,3 +79,30 @@ def test_sample_is_bounded(spark):
     labels = spark.range(100).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic", "1 AS quality")
     s = T.training_sample(docs, labels, most=(7, 5))
     assert s["label"].value_counts().to_dict() == {0: 7, 1: 5}
+
+
+def test_score_means_the_same_for_a_sample():
+    rng = random.Random(5)
+    plain = lambda: " ".join(rng.choice(["ban", "tem", "kilo", "murd", "lost", "benn"]) for _ in range(40))
+    clean = [(plain(), 0) for _ in range(800)]
+    toxic = [(plain(), 1) for _ in range(80)] + [(plain() + " grobblend zwackish", 1) for _ in range(120)]
+    whole = pd.DataFrame(clean + toxic, columns=["text", "label"])
+    sample = pd.DataFrame([(*r, 8.0) for r in clean[::8]] + [(*r, 1.0) for r in toxic], columns=["text", "label", "weight"])
+    for rows in (whole, sample):
+        model = T.fit(rows)
+        scores = [s for s, _ in T.score_texts([plain() for _ in range(50)] + ["ban zwackish grobblend tem"], model, T.Weights(model["w"]), False)]
+        # 80 of 880 plain texts are toxic
+        assert 0.04 < np.mean(scores[:50]) < 0.2 and scores[-1] > 0.8
+
+
+def test_weights_are_inverse_sampling_rates(spark):
+    docs = spark.range(100).selectExpr("id AS doc_id", "'t' AS text")
+    labels = spark.range(100).selectExpr("id AS doc_id", "CAST(id % 10 = 0 AS int) AS toxic")
+    s = T.training_sample(docs, labels, most=(9, 20))
+    assert s.groupby("label")["weight"].agg(["min", "max", "size"]).values.tolist() == [[10, 10, 9], [1, 1, 10]]
+
+
+def test_weight_of_a_row_is_its_number():
+    x, y = np.array([[0.0], [1.0], [2.0], [1.5]]), np.array([0.0, 1.0, 1.0, 0.0])
+    n = np.array([3, 1, 2, 1])
+    assert np.allclose(T._logistic(x, y, n), T._logistic(np.repeat(x, n, 0), np.repeat(y, n), np.ones(7)))
