@@ -1,7 +1,7 @@
 """PII surrogates: entities become keyed, type-consistent replacements.
 
-Detected: e-mail addresses, phone numbers, payment cards (Luhn), IPv4 addresses, secrets (password= and
-token= values and the like) and names behind a title. A surrogate keeps its original's type and format:
+Detected: e-mail addresses, phone numbers, payment cards (Luhn), IPv4 addresses, secrets (values behind password,
+token and the like in any case, with = or :, spaces and quotes as they come; well-known key forms) and names behind a title. A surrogate keeps its original's type and format:
 length, punctuation, case, script of letters, Luhn validity, the class of an address, and for listed
 first names the gender. It is made by a keyed permutation (a Feistel network over the entity's own
 alphabet and length), so distinct entities of a format get distinct surrogates, and one entity gets the
@@ -28,16 +28,20 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import id_in, id_out
 
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|M\\.|Sr|Sra|Señor|Señora"
+#: Words in front of a secret, in any case, and secrets that their own beginning gives away.
+KEYWORDS, KEY_HEADS = r"passw(?:or)?d|secret|token|api[_-]?key", r"AKIA|gh[pousr]_|sk-"
+EMAIL = r"[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PATTERN = re.compile(
-    r"(?P<EMAIL>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<SECRET>(?:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=token=)|(?<=api_key=)|(?<=token = \")|(?<=secret = \")|(?<=password = \")|(?<=api_key = \"))[A-Za-z0-9_\-+/]{8,}={0,2}|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}))"
+    rf"(?P<EMAIL>(?<![\w.+-]){EMAIL})"
+    rf"|(?i:{KEYWORDS})[\"']?\s*[=:]\s*[\"']?(?!{EMAIL})(?P<SECRET>[A-Za-z0-9_\-+/]{{8,}}={{0,2}})"
+    r"|(?P<KEY>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}))"
     r"|(?P<IP>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
     r"|(?P<PHONE>(?<![\w.])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d))"
     r"|(?P<CARD>(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d))"
     rf"|(?P<NAME>(?<=\b)(?:{TITLES})\.? (?P<GIVEN>[^\W\d_][\w'-]+)(?: (?P<FAMILY>[^\W\d_][\w'-]+))?)"
 )
 #: A text without any of these can't hold an entity.
-QUICK = re.compile(rf"[@\d]|(?:{TITLES})\b|(?:password|secret|token|key)")
+QUICK = re.compile(rf"[@\d]|{TITLES}|(?i:{KEYWORDS})|{KEY_HEADS}")
 #: First names by gender.
 FEMALE = "Alice Anna Carmen Claire Elena Emma Eva Greta Hannah Ines Julia Laura Lena Lucia Maria Marie Olivia Paula Sarah Sofia".split()
 MALE = "Adam Carlos Daniel David Felix Hans Hugo Jack James John Jonas Karl Louis Lucas Martin Max Paul Pedro Peter Thomas".split()
@@ -139,7 +143,7 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
     if kind == "SECRET":
         if all(c in HEX for c in text):
             return spelled(key, tweak, text, [HEX] * len(text))
-        head = re.match(r"AKIA|gh[pousr]_|sk-|", text).end()
+        head = re.match(rf"{KEY_HEADS}|", text).end()
         return spelled(key, tweak, text, [alphabet_of(c) if k >= head else None for k, c in enumerate(text)])
     if text in GENDER:
         names = FEMALE if GENDER[text] == "f" else MALE
@@ -156,7 +160,7 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
         if m.lastgroup == "NAME" or m["NAME"]:
             out += [(*m.span(g), "NAME") for g in ("GIVEN", "FAMILY") if m[g]]
         else:
-            out.append((*m.span(), m.lastgroup))
+            out.append((*m.span(m.lastgroup), "SECRET" if m.lastgroup == "KEY" else m.lastgroup))
     return out
 
 

@@ -53,3 +53,15 @@ def test_odd_rows(spark):
     assert got[None].n_entities == got[4].n_entities == 1 and got[4].text.endswith(got[None].text)
     assert got[5].n_entities == 0 and len(got[6].text) == 5000
     assert S.with_surrogates(df.limit(0), KEY).collect() == []
+
+
+def test_spellings_of_secrets():
+    value = "9233A8EC77D01B2F"
+    for lead in ('TOKEN = "', "Password: ", 'export API_KEY="', '{"secret":"', "{'api-key' : '", "PASSWD=", "token="):
+        assert [(lead + value)[a:z] for a, z, k in S.entities(lead + value) if k == "SECRET"] == [value], lead
+    assert [s["type"] for s in S.replaced("token=some.long.name@mail.example.com", KEY)[1]] == ["EMAIL"]
+
+
+def test_texts_that_hold_no_digit():
+    for text in ("passwd=CorrectHorse", "AKIA" + "ABCDEFGH" * 2, "ghp_" + "abcdef" * 5, "sk-" + "abcde" * 4, "M. Dupont arrive"):
+        assert S.entities(text), text
