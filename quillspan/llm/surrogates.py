@@ -1,7 +1,7 @@
 """PII surrogates: entities become keyed, type-consistent replacements.
 
 Detected: e-mail addresses, phone numbers, payment cards (Luhn), IPv4 addresses, secrets (values behind password,
-token and the like in any case, with = or :, spaces and quotes as they come; well-known key forms) and names behind a title. A surrogate keeps its original's type and format:
+token and the like in any case, with = or :, spaces and quotes as they come; well-known key forms), names behind a title and all other whole-word mentions of those names in the document. A surrogate keeps its original's type and format:
 length, punctuation, case, script of letters, Luhn validity, the class of an address, and for listed
 first names the gender. It is made by a keyed permutation (a Feistel network over the entity's own
 alphabet and length), so distinct entities of a format get distinct surrogates, and one entity gets the
@@ -9,13 +9,15 @@ same surrogate in every document and in every task, without any shuffle.
 
 Collision checks: a surrogate must differ from its original, from every entity that the document really
 has and from the surrogates of the document's other entities. If not, the entity takes the permutation
-of its next round in that document. `collisions` lists what still clashes over a whole corpus.
+of its next round in that document; after every ROUNDS of them it goes on in a larger space (letters for
+listed names, then longer words and numbers), so a document can't use up a format. `collisions` lists what still clashes over a whole corpus.
 
 Defined results: null text stays null, empty text empty, both without entities. Whole texts are read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -46,6 +48,10 @@ QUICK = re.compile(rf"[@\d]|{TITLES}|(?i:{KEYWORDS})|{KEY_HEADS}")
 FEMALE = "Alice Anna Carmen Claire Elena Emma Eva Greta Hannah Ines Julia Laura Lena Lucia Maria Marie Olivia Paula Sarah Sofia".split()
 MALE = "Adam Carlos Daniel David Felix Hans Hugo Jack James John Jonas Karl Louis Lucas Martin Max Paul Pedro Peter Thomas".split()
 GENDER = {n: g for g, names in (("f", FEMALE), ("m", MALE)) for n in names}
+#: Rounds in one space of surrogates.
+ROUNDS = 64
+_WORDS = re.compile(r"\w[\w'-]*")
+_TITLE = re.compile(TITLES)
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
@@ -117,6 +123,10 @@ def entity_of(kind: str, text: str) -> str:
 def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of an entity's mention, in its format. kind NAME: one word of a name."""
     tweak = f"{kind}|{attempt}"
+    larger = attempt // ROUNDS
+    if larger and kind in ("EMAIL", "SECRET", "PHONE") or larger > 1 and kind == "NAME":
+        more = larger - (kind == "NAME")
+        text = "a" * more + text if kind == "EMAIL" else text + ("0" if kind == "PHONE" else "a") * more
     if kind == "EMAIL":
         low = text.lower()
         stay = low.rindex(".")
@@ -137,7 +147,9 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         for part in text.split("."):
             x = x * 256 + int(part)
         y = permute(key, tweak, x, 1 << 32)
-        while ip_class(y) != ip_class(x):
+        # the largest private block stands in for a smaller one that is used up
+        wanted = "private10" if larger and ip_class(x).startswith("private") else ip_class(x)
+        while ip_class(y) != wanted:
             y = permute(key, tweak, y, 1 << 32)
         return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
     if kind == "SECRET":
@@ -145,22 +157,43 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
             return spelled(key, tweak, text, [HEX] * len(text))
         head = re.match(rf"{KEY_HEADS}|", text).end()
         return spelled(key, tweak, text, [alphabet_of(c) if k >= head else None for k, c in enumerate(text)])
-    if text in GENDER:
+    if text in GENDER and not larger:
         names = FEMALE if GENDER[text] == "f" else MALE
         return names[permute(key, tweak + GENDER[text], names.index(text), len(names))]
     return spelled(key, tweak, text, [alphabet_of(c) for c in text])
 
 
 def entities(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the mentions in order; a name's words are mentions of their own, its title stays."""
+    """(start, end, type) of the mentions in order; a name's words are mentions of their own, its title stays. Words of names
+    (those without a small initial) count wherever they stand outside other mentions."""
     if not text or not QUICK.search(text):
         return []
-    out = []
+    out: list[tuple[int, int, str]] = []
+    names: set[str] = set()
     for m in PATTERN.finditer(text):
         if m.lastgroup == "NAME" or m["NAME"]:
-            out += [(*m.span(g), "NAME") for g in ("GIVEN", "FAMILY") if m[g]]
+            for a, z in (m.span(g) for g in ("GIVEN", "FAMILY") if m[g]):
+                # a possessive's ending and outer marks are not the name's
+                bare = re.sub(r"('s)?['-]*$", "", text[a:z])
+                out.append((a, a + len(bare), "NAME"))
+                if not bare[0].islower() and not _TITLE.fullmatch(bare):
+                    names.add(bare)
         else:
             out.append((*m.span(m.lastgroup), "SECRET" if m.lastgroup == "KEY" else m.lastgroup))
+    return sorted(out + _again(text, names, out)) if names else out
+
+
+def _again(text: str, names: set[str], found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Whole-word mentions of names outside the found mentions."""
+    starts = [a for a, _, _ in found]
+    out = []
+    for m in _WORDS.finditer(text):
+        # a hyphened or possessive word can be a name as a whole or hold one
+        for w in [m] if m[0] in names else re.compile(r"\w+").finditer(text, *m.span()):
+            if w[0] in names:
+                k = bisect.bisect_left(starts, w.end())
+                if not k or found[k - 1][1] <= w.start():
+                    out.append((*w.span(), "NAME"))
     return out
 
 
@@ -177,8 +210,7 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, list[dict]]:
         e = (kind, entity_of(kind, text[a:z]))
         if e not in chosen:
             k = 0
-            # a format with few members can be used up by the document; then rounds end and distinctness can't hold
-            while k < 64 and (kind, entity_of(kind, surrogate(kind, text[a:z], key, k))) in real | taken:
+            while (kind, entity_of(kind, surrogate(kind, text[a:z], key, k))) in real | taken:
                 k += 1
             chosen[e] = k
             taken.add((kind, entity_of(kind, surrogate(kind, text[a:z], key, k))))

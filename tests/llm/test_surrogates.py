@@ -65,3 +65,28 @@ def test_spellings_of_secrets():
 def test_texts_that_hold_no_digit():
     for text in ("passwd=CorrectHorse", "AKIA" + "ABCDEFGH" * 2, "ghp_" + "abcdef" * 5, "sk-" + "abcde" * 4, "M. Dupont arrive"):
         assert S.entities(text), text
+
+
+def test_later_mentions_of_a_name():
+    text = "Dr Anna Schmidt called. Schmidt said that Anna's car, a Schmidt-Benz, is Mr Lee's. Lee knows. Schmidts mail: x.Schmidt@mail.example.com"
+    new, spans = S.replaced(text, KEY)
+    by = {}
+    for s in spans:
+        by.setdefault(s["entity"], set()).add(s["surrogate"])
+    assert all(len(v) == 1 for v in by.values())
+    assert [s["type"] for s in spans] == ["NAME"] * 7 + ["EMAIL"]
+    assert "Schmidt " not in new and "Anna" not in new and "Lee" not in new and "Schmidt-" not in new and "Schmidts mail" in new
+    assert all(new[s["start"] : s["end"]] == s["surrogate"] for s in spans)
+    assert "and Mr" in S.replaced("Mr and Mrs Lee, he and Mr Poe", KEY)[0]
+
+
+@pytest.mark.parametrize("kind", ["NAME", "EMAIL"])
+def test_formats_that_a_document_uses_up(kind):
+    low = "abcdefghijklmnopqrstuvwxyz"
+    real = {
+        "NAME": S.FEMALE + S.MALE,
+        "EMAIL": [f"{a}@{b}.de" for a in low for b in low],
+    }[kind]
+    text = " ; ".join(("Dr " if kind == "NAME" else "") + x for x in real)
+    new = [s["surrogate"] for s in S.replaced(text, KEY)[1]]
+    assert len(new) == len(set(new)) == len(real) and not set(new) & set(real)
