@@ -1,6 +1,8 @@
 """Quality classifier from weak labels.
 
-1. Overlapping heuristic labellers vote on each document: good (1), poor (0) or nothing.
+1. Overlapping heuristic labellers vote on each document: good (1), poor (0) or nothing. Variety is the share of
+   distinct words, for long texts its mean over equal windows of 1,000 words or a little more, as the share of a whole
+   text falls with its length.
 2. Spark counts the vote patterns of all documents; there are at most 3^labellers of them, however large
    the corpus. Expectation-maximisation on these counts estimates the share of good documents and
    each labeller's accuracies for both classes, given that labellers err independently of each other.
@@ -33,6 +35,14 @@ LABELLERS = ("length", "word_length", "capitals", "symbols", "stutter", "variety
 _CORE = re.compile(r"^\W+|\W+$")
 
 
+def variety(words: list[str]) -> float:
+    """Mean share of distinct words over equal windows of the whole text, each of 1,000 to 1,999 words; one window if it is shorter."""
+    n = len(words)
+    parts = max(1, n // 1000)
+    ends = [n * k // parts for k in range(parts + 1)]
+    return sum(len(set(words[a:z])) / (z - a) for a, z in zip(ends, ends[1:])) / parts
+
+
 def votes(text: str | None) -> str:
     """One character for each labeller: 1 good, 0 poor, - no vote."""
     words = (text or "").split()
@@ -44,7 +54,7 @@ def votes(text: str | None) -> str:
     bare = sum(not w.isalnum() and not any(c.isalnum() for c in w) for w in words) / n
     marks = sum(text.count(c) for c in "!|#*=<>{}~^_") / n
     stutter = sum(map(operator.eq, words, words[1:])) / n
-    distinct = len(set(words)) / n
+    distinct = variety(words)
     ends = sum(text.count(c) for c in ".?") / n
     short = sum(len(w) <= 3 for w in words) / n
 
@@ -56,7 +66,7 @@ def votes(text: str | None) -> str:
 
     return "".join([
         vote(n, 30, 5), "1" if 3 <= letters / n <= 9 else "0" if not 2 <= letters / n <= 14 else "-", vote(upper, 0.05, 0.2),
-        vote(marks + bare, 0.02, 0.1), vote(stutter, 0.02, 0.08), vote(distinct if n < 2000 else 1.0, 0.35, 0.2) if n > 20 else "-", vote(ends, 0.02, 0.001), vote(short, 0.12, 0.03),
+        vote(marks + bare, 0.02, 0.1), vote(stutter, 0.02, 0.08), vote(distinct, 0.35, 0.2) if n > 20 else "-", vote(ends, 0.02, 0.001), vote(short, 0.12, 0.03),
     ])
 
 
