@@ -1,4 +1,4 @@
-"""Removal of byte strings that an earlier document has, by longest-previous-factor arrays.
+"""Removal of byte strings that an earlier document has, by suffix ranks limited to the depth of a window.
 
 A byte goes if a window of `length` bytes around it also starts in a document with a smaller id.
 One suffix array of all text is not needed: equal windows have equal minimizers (the least hash of
@@ -11,8 +11,10 @@ runs with equal minimizers have to meet.
 3. The text of the runs with such minimizers goes to the minimizer's group. Within a batch, a run
    whose text an earlier document of the batch has is settled there, so what a popular passage
    sends is one run for each batch and not one for each document.
-4. Each group's runs are joined to one text; its suffixes are sorted to the depth of a window, and
-   previous and next smaller document ids in suffix order give the longest earlier match.
+4. Each group's runs are joined to one text; its suffixes are ranked by the first window of bytes, and a
+   suffix has an earlier match if the least document id of its rank is smaller than its own. Lengths of
+   longest previous factors and previous and next smaller positions are not computed: only whether
+   one reaches a window decides, and it does exactly if a smaller id has the same rank.
 5. The matched windows' bytes return to their documents and are cut out.
 
 Defined results: null text counts as empty; documents shorter than a window stay whole; rows with a
