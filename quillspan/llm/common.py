@@ -5,16 +5,23 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of one Arrow batch. Batches bounded by rows alone would hold thousands of whole texts.
+ARROW_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only in local mode, where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspan-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -27,12 +34,48 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside it go when it ends, but for those that `kept` names; so a long job doesn't fill the shared folder."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df stored so that it outlives the innermost scratch."""
+    inner = _scratch.pop() if _scratch else None
+    try:
+        return stored(df)
+    finally:
+        if inner is not None:
+            _scratch.append(inner)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches to Python workers by bytes, unless the session has a smaller bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +88,18 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def unique_join(left: DataFrame, right: DataFrame, key: str, row: str, how: str = "left") -> DataFrame:
+    """left joined with right, which has one row for each value of key. Values with more than half a partition's share of
+    left's rows, at most 2 x partitions of them, are spread by a salt from the column row, with a copy of right's row for each salt."""
+    p = partitions(left.sparkSession)
+    counts = left.groupBy(key).count()
+    total = left.agg(F.count(F.lit(1)).alias("__total"))
+    hot = counts.join(F.broadcast(total), F.col("count") * (2 * p) > F.col("__total")).filter(F.col("count") > 64).select(key, F.lit(True).alias("__hot"))
+    a = left.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(row, F.lit(3)), F.lit(p)).cast("int")).otherwise(0)).drop("__hot")
+    b = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(p - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return a.join(b, [key, "__salt"], how).drop("__salt")
+
+
 def text_or_empty(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -61,10 +116,24 @@ def id_out(col: str = "id") -> Column:
     return F.when(F.col(col) != F.lit(NO_ID), F.col(col))
 
 
-def worker_state(name: str, make: Callable):
-    """An object kept for the life of a Python worker, so that its tasks share a cache. Only for caches of pure
-    functions: a new worker makes its own."""
-    state = sys.__dict__.setdefault("_quillspan_state", {})
-    if name not in state:
-        state[name] = make()
-    return state[name]
+class WordCache(dict):
+    """Values of words, made by `make` and kept up to a bounded number of bytes; a full cache begins anew."""
+
+    BYTES = 24 << 20
+
+    def __init__(self, make: Callable | None = None):
+        super().__init__()
+        self.make, self.size = make, 0
+
+    def put(self, word, value) -> None:
+        # a slot of a growing dict takes about 100 bytes
+        self.size += sys.getsizeof(word) + sys.getsizeof(value) + 100
+        if self.size > self.BYTES:
+            self.clear()
+            self.size = 0
+        self[word] = value
+
+    def __missing__(self, word):
+        value = self.make(word)
+        self.put(word, value)
+        return value

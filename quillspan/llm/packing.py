@@ -3,47 +3,50 @@
 Each document's ids are made once (words are encoded once and kept by a bounded cache, since no token
 spans white space) and only lengths and checksums go on. A document longer than a sequence is cut
 into full pieces and a rest. Pieces are dealt at random to blocks of bounded size; a block packs its
-pieces best-fit decreasing and then improves the underfull bins: it moves one piece to another bin, or
-exchanges one for one or two for one, whenever that makes the sum of squared fills larger, until
+pieces best-fit decreasing and then improves the underfull bins, all of them: it moves one piece to another bin, or
+exchanges one for one, one for two or two for one, whenever that makes the sum of squared fills larger, until
 bins empty or no exchange helps. Full bins are done; the pieces of all underfull bins of all blocks
-meet again in fewer blocks, round after round, until one block holds the rest (or a round saves
-nothing). So a block is never larger than BLOCK pieces and the result is nearly one global packing.
+meet again in fewer blocks, round after round, until one block holds the rest (or a round puts
+less than LEAST_SAVING of its pieces into full bins: the same mix would come again). So a block is never larger than BLOCK pieces and the result is nearly one global packing.
 
 Defined results: a null or empty text still has its end id, a piece of one token. Rows that repeat an
-id are packed each on its own. Sequence ids are unique numbers without order.
+id are packed each on its own. Sequence ids are unique numbers without order. An empty table has no
+pieces; columns other than id and text don't matter to `pack_documents`; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+import random
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import id_in, id_out, stored, worker_state
+from quillspan.llm.common import WordCache, id_in, id_out, kept, scratch, stored
 
 #: Pieces that one task packs together.
 BLOCK = 20_000
-#: Underfull bins that a search looks at, those with the most room first.
-SEARCH_BINS = 400
+#: Fresh deals in a row without a gain, after which a block's search ends.
+RESTARTS = 6
+#: Share of pieces that a round must put into full bins for the rest to be dealt again.
+LEAST_SAVING = 0.01
 
 
-class WordIds(dict):
+class WordIds(WordCache):
     """Token ids (little-endian 32-bit) of space-delimited words, kept up to a bounded size.
 
-    A word of letters and closing punctuation is the ids of its letters and those of its punctuation. Letters go to the
-    model itself, spelled as the tokenizer's byte-level step does (lower case, a character for each byte), which
+    A word of letters, maybe with closing punctuation, is the ids of its letters and those of its punctuation, if the tokenizer's
+    own normaliser turns its letters into letters only (some grow a combining mark, which would join the punctuation).
+    Such letters go to the model itself, spelled as the tokenizer's byte-level step does (a character for each byte), which
     spares the whole encoder's work; this holds for a tokenizer of that kind only, and else the encoder is used."""
 
-    LIMIT = 700_000
     #: ASCII marks, of which any row behind letters is one part to the tokenizer (an apostrophe can begin another part).
     CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -53,49 +56,50 @@ class WordIds(dict):
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         rest = [b for b in range(256) if b not in plain]
         self.spelling = {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.direct = all([t.id for t in tokenizer.model.tokenize(self.spelled(w.lower()))] == tokenizer.encode(w, add_special_tokens=False).ids for w in ("The", "naïveté", "straße", "ночь", "ELLE", "日本"))
-
-    def spelled(self, low: str) -> str:
-        return low.encode().decode("latin-1").translate(self.spelling)
-
-    def singly(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def fill(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]  # difference() would go through all of a dict's subclass
-        if len(self) + 2 * len(new) > self.LIMIT:
-            self.clear()
-            new = words
-        closing, model, pack = self.CLOSING, self.tokenizer.model.tokenize, struct.pack
-        odd, mixed = set(), []
-        for w in new:
-            if w.isalpha():
-                core = w
+        samples = ("The", "naïveté", "straße", "ночь", "ELLE", "日本", "end.)", "ÉLAN,")
+        self.direct = True
+        self.direct = all(self.of_letters(w) == self.encoded([w])[0] for w in samples)
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def letters(self, core: str) -> bytes | None:
+        """Ids of a word of letters, or None if it has to go to the encoder."""
+        low = core.lower() if core.isascii() else self.tokenizer.normalizer.normalize_str(core)
+        if not low.isalpha():
+            return None
+        ids = [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.spelling))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def of_letters(self, word: str) -> bytes | None:
+        """Ids of a word of letters and closing punctuation, or None if it isn't one."""
+        core = word if word.isalpha() else word.rstrip(self.CLOSING)
+        if not self.direct or not core.isalpha():
+            return None
+        ids = self.letters(core)
+        if ids is None or len(core) == len(word):
+            return ids
+        tail = word[len(core) :]
+        if tail not in self:
+            self.put(tail, self.encoded([tail])[0])
+        return ids + self[tail]
+
+    def ids(self, texts: list[list[str]]) -> Iterator[bytes]:
+        """Ids of texts that are split into words. New words of all texts go to the encoder together."""
+        own, new = {}, []
+        for w in set().union(*texts):
+            if w in self:
+                own[w] = self[w]
             else:
-                core = w.rstrip(closing)
-                if not core.isalpha():
-                    odd.add(w)
-                    continue
-                tail = w[len(core) :]
-                if tail not in self:
-                    self.singly([tail])
-                mixed.append(w)
-                if core in self:
-                    continue
-            low = core.lower()
-            if self.direct and low.isascii():
-                ids = [t.id for t in model(low)]
-                self[core] = pack(f"<{len(ids)}I", *ids)
-            elif self.direct and low.isalpha() and "Σ" not in core and is_normalized("NFC", core) and is_normalized("NFC", low):
-                ids = [t.id for t in model(self.spelled(low))]
-                self[core] = pack(f"<{len(ids)}I", *ids)
-            else:
-                self.singly([core])
-        self.singly(list(odd))
-        for w in mixed:
-            core = w.rstrip(closing)
-            self[w] = self[core] + self[w[len(core) :]]
+                new.append(w)
+        made = {w: self.of_letters(w) for w in new}
+        odd = [w for w in new if made[w] is None]
+        made.update(zip(odd, self.encoded(odd), strict=True))
+        own |= made
+        for words in texts:
+            yield b"".join(map(own.__getitem__, words))
+        for w, ids in made.items():
+            self.put(w, ids)
 
 
 def word_parts(text: str) -> list[str]:
@@ -112,12 +116,9 @@ def tokenised(docs: DataFrame, tokenizer_json: str, max_tokens: int, end_id: int
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        def cached() -> WordIds:
-            tokenizer = Tokenizer.from_file(tokenizer_json)
-            tokenizer.encode_special_tokens = True
-            return WordIds(tokenizer)
-
-        cache, end, step = worker_state(f"words of {tokenizer_json}", cached), end_id.to_bytes(4, "little"), 4 * max_tokens
+        tokenizer = Tokenizer.from_file(tokenizer_json)
+        tokenizer.encode_special_tokens = True
+        cache, end, step = WordIds(tokenizer), end_id.to_bytes(4, "little"), 4 * max_tokens
         for f in frames:
             parts, size, begin = [], 0, 0
             texts = [t or "" for t in f["text"]]
@@ -125,10 +126,9 @@ def tokenised(docs: DataFrame, tokenizer_json: str, max_tokens: int, end_id: int
                 parts.append(word_parts(t))
                 size += len(t)
                 if size > 1 << 21 or k + 1 == len(texts):
-                    cache.fill(set().union(*parts))
                     rows = []
-                    for i, p in zip(f["id"].iloc[begin : k + 1], parts, strict=True):
-                        ids = b"".join(map(cache.__getitem__, p)) + end
+                    for i, ids in zip(f["id"].iloc[begin : k + 1], cache.ids(parts), strict=True):
+                        ids += end
                         for n, a in enumerate(range(0, len(ids), step)):
                             x = ids[a : a + step]
                             rows.append((i, n, a // 4, len(x) // 4, zlib.crc32(x)))
@@ -138,12 +138,13 @@ def tokenised(docs: DataFrame, tokenizer_json: str, max_tokens: int, end_id: int
     return docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: list[int], room: int) -> list[list[int]]:
-    """Bins (of indexes into lengths) by best-fit decreasing: the fullest bin that has space takes the piece."""
+def best_fit(lengths: list[int], room: int, order: list[int] | None = None) -> list[list[int]]:
+    """Bins (of indexes into lengths) by best fit: the fullest bin that has space takes the piece. Longest pieces first
+    unless an order is given."""
     bins: list[list[int]] = []
     by_space: dict[int, list[int]] = defaultdict(list)
     spaces: list[int] = []  # sorted, those with bins
-    for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True):
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True) if order is None else order:
         n = lengths[i]
         at = bisect.bisect_left(spaces, n)
         if at == len(spaces):
@@ -163,79 +164,210 @@ def best_fit(lengths: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def _swap(a: list[int], b: list[int], la: int, lb: int, lengths: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """Pieces to move from bin a to bin b and back that raise the sum of squared fills: a move, an exchange of one
-    for one or of two for one. a is the emptier bin; the best raise fills b the most."""
-    space = room - lb
-    best, out = 0, None
-    for i in a:
-        if best < lengths[i] <= space:
-            best, out = lengths[i], ([i], [])
-    gains = sorted((lengths[j], j) for j in b)
-    values = [x for x, _ in gains]
-    ones = [(lengths[i], (i,)) for i in a]
-    pairs = [(lengths[i] + lengths[j], (i, j)) for k, i in enumerate(a) for j in a[:k]] if len(a) <= 40 else []
-    for size, who in ones + pairs:
-        # the smallest piece of b that can leave for it: size - x <= space
-        at = bisect.bisect_left(values, size - space)
-        if at < len(values) and size - values[at] > best:
-            best, out = size - values[at], (list(who), [gains[at][1]])
-    return out
+class _Pool:
+    """Pieces that bins offer, by length: of each length present the bins that have one, and a bit for it in a mask,
+    so that the longest piece up to a bound is one operation."""
+
+    def __init__(self):
+        self.mask, self.bins = 0, defaultdict(Counter)
+
+    def add(self, n: int, b: int) -> None:
+        self.bins[n][b] += 1
+        self.mask |= 1 << n
+
+    def remove(self, n: int, b: int) -> None:
+        own = self.bins[n]
+        own[b] -= 1
+        if not own[b]:
+            del own[b]
+            if not own:
+                self.mask ^= 1 << n
+
+    def longest(self, most: int) -> int:
+        """The greatest length up to most, or 0."""
+        return (self.mask & ((1 << most + 1) - 1)).bit_length() - 1 if most > 0 and self.mask else 0
+
+    def some_bin(self, n: int) -> int:
+        return next(iter(self.bins[n]))
+
+
+def _single_swap(lens: list[int], space: int, pool: _Pool) -> tuple[int, list[int], int]:
+    """The exchange that fills a bin most by one piece from elsewhere, for none, one or two of its own: gain, own lengths that leave, length that comes."""
+    best = (0, [], 0)
+    outs = {0: []} | {x: [x] for x in lens}
+    for two in (False, True):
+        if two:
+            outs = {x + y: [x, y] for k, x in enumerate(lens) for y in lens[:k]}
+        for out, who in outs.items():
+            came = pool.longest(space + out)
+            if came - out > best[0]:
+                best = (came - out, who, came)
+                if best[0] == space:
+                    return best
+    return best
+
+
+def _two_for_one(bins: dict[int, list[int]], order: list[int], space: dict[int, int]) -> bool:
+    """One pass over the bins, fullest first: two pieces of an emptier bin come for one of a bin's own or for none, the pair that
+    fills it most. Whether anything was exchanged."""
+    sums: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for b in order:
+        lens = sorted(set(bins[b]))
+        for k, x in enumerate(lens):
+            for y in lens[: k + 1]:
+                if x != y or bins[b].count(x) > 1:
+                    sums[x + y].append((b, x, y))
+    keys = sorted(sums)
+    place = {b: k for k, b in enumerate(order)}
+    changed = False
+    for b in order:
+        found = (0, 0, None)
+        for out in {0, *bins[b]}:
+            k = bisect.bisect_right(keys, space[b] + out) - 1
+            while k >= 0 and keys[k] - out > found[0]:
+                # only bins that come later are emptier; pairs that have gone are dropped on the way
+                live = sums[keys[k]]
+                while live and not (place[live[-1][0]] > place[b] and _holds(bins[live[-1][0]], live[-1])):
+                    live.pop()
+                if live:
+                    found = (keys[k] - out, out, live[-1])
+                    break
+                k -= 1
+            if found[0] == space[b]:
+                break
+        gain, out, pair = found
+        if pair:
+            a, x, y = pair
+            for n in (x, y):
+                bins[a].remove(n)
+                bins[b].append(n)
+            if out:
+                bins[b].remove(out)
+                bins[a].append(out)
+            space[b] -= gain
+            space[a] += gain
+            changed = True
+    return changed
+
+
+def _holds(lens: list[int], pair: tuple[int, int, int]) -> bool:
+    _, x, y = pair
+    return lens.count(x) > (x == y) and y in lens
 
 
 def improve(bins: list[list[int]], lengths: list[int], room: int) -> list[list[int]]:
-    """The bins after swap-based search among the underfull ones."""
-    fills = [sum(lengths[i] for i in b) for b in bins]
-    live = sorted((k for k in range(len(bins)) if fills[k] < room), key=fills.__getitem__)[:SEARCH_BINS]
-    while len(live) > 1:
-        a = live[0]  # the emptiest bin gives its pieces away
-        for b in sorted(live[1:], key=fills.__getitem__, reverse=True):
-            while bins[a] and fills[b] < room and (swap := _swap(bins[a], bins[b], fills[a], fills[b], lengths, room)):
-                give, take = swap
-                gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                bins[a] = [i for i in bins[a] if i not in give] + take
-                bins[b] = [i for i in bins[b] if i not in take] + give
-                fills[a] -= gain
-                fills[b] += gain
-            if not bins[a]:
+    """The bins after swap-based search among all underfull ones, until no exchange raises the sum of squared fills.
+
+    Bins are visited from the fullest on, and take pieces only from bins that are no fuller, so any exchange that makes
+    them fuller raises that sum. Full bins and emptied ones take no further part."""
+    full, live = [], []
+    for b in bins:
+        (full if sum(lengths[i] for i in b) == room else live).append(b)
+    by_length: dict[int, list[int]] = defaultdict(list)
+    for b in live:
+        for i in b:
+            by_length[lengths[i]].append(i)
+    lens = {k: [lengths[i] for i in b] for k, b in enumerate(live)}
+    done: list[list[int]] = []
+    while True:
+        space = {k: room - sum(x) for k, x in lens.items()}
+        for k in [k for k, s in space.items() if s in (0, room)]:
+            done.append(lens.pop(k))
+            del space[k]
+        order = sorted(lens, key=lambda k: (space[k], k))
+        pool = _Pool()
+        for k in order:
+            for n in lens[k]:
+                pool.add(n, k)
+        changed = False
+        for b in order:
+            own = lens[b]
+            for n in own:
+                pool.remove(n, b)
+            while space[b] and own:
+                gain, out, came = _single_swap(own, space[b], pool)
+                if not gain:
+                    break
+                a = pool.some_bin(came)
+                pool.remove(came, a)
+                lens[a].remove(came)
+                for n in out:
+                    own.remove(n)
+                    lens[a].append(n)
+                    pool.add(n, a)
+                own.append(came)
+                space[b] -= gain
+                space[a] += gain
+                changed = True
+        if not changed:
+            order = sorted((k for k in lens if space[k] not in (0, room)), key=lambda k: (space[k], k))
+            if not _two_for_one(lens, order, space):
                 break
-        # a bin that nothing more can leave stays as it is
-        live = sorted((k for k in live[1:] if fills[k] < room), key=fills.__getitem__)
-    return [b for b in bins if b]
+    done += lens.values()
+    return full + [[by_length[n].pop() for n in b] for b in done if b]
 
 
 def pack_block(lengths: list[int], room: int) -> list[list[int]]:
-    return improve(best_fit(lengths, room), lengths, room)
+    """Best fit and swaps from the longest pieces on, and from a shuffled order, which leaves more room for swaps. Of these
+    the fewer bins stay; then the pieces of the underfull bins, and of as many full ones for variety, are dealt anew in other
+    orders, until RESTARTS deals in a row have emptied no bin."""
+    rng = random.Random(5)
+    by_length = sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True)
+    fill = lambda b: sum(lengths[i] for i in b)
+
+    def shuffled(who: list[int]) -> list[list[int]]:
+        order = sorted(who, key=lengths.__getitem__)
+        rng.shuffle(order)
+        return improve(best_fit(lengths, room, order), lengths, room)
+
+    best = min((improve(best_fit(lengths, room, by_length), lengths, room), shuffled(by_length)), key=len)
+    tries, least = RESTARTS, -(-sum(lengths) // room)
+    while tries and len(best) > least:
+        full, under = [b for b in best if fill(b) == room], [b for b in best if fill(b) < room]
+        rng.shuffle(full)
+        mixed, rest = under + full[: len(under)], full[len(under) :]
+        again = shuffled([i for b in mixed for i in b])
+        tries -= 1
+        if len(again) < len(mixed):
+            tries = RESTARTS
+        if (len(again), -sum(fill(b) ** 2 for b in again)) < (len(mixed), -sum(fill(b) ** 2 for b in mixed)):
+            best = rest + again
+    return best
 
 
 def packed(pieces: DataFrame, room: int, block: int = BLOCK) -> DataFrame:
     """pieces (any columns, one of them length) with sequence_id and offset."""
-    pieces = pieces.select("*")
+    with scratch(pieces.sparkSession):
+        return kept(_packed(pieces.select("*"), room, block))
+
+
+def _packed(pieces: DataFrame, room: int, block: int) -> DataFrame:
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
     done: DataFrame | None = None
-    todo, number, last = stored(pieces), 0, None
+    todo, number, last, before = stored(pieces), 0, None, 0
     while True:
         count = todo.count()
         blocks = max(1, math.ceil(count / block))
-        final = blocks == 1 or last is not None and count > 0.9 * last
+        final = blocks == 1 or last is not None and count > (1 - LEAST_SAVING) * last
         dealt = todo.withColumn("__b", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns if c != "length"], F.lit(number)), F.lit(blocks)).cast("int"))
-        out = stored(dealt.groupBy("__b").applyInPandas(_block_packer(room, number, final), f"{schema}, sequence_id long, offset long"))
+        out = stored(dealt.groupBy("__b").applyInPandas(_block_packer(room, before, final), f"{schema}, sequence_id long, offset long"))
         full = out.filter("sequence_id IS NOT NULL")
         done = full if done is None else done.unionByName(full)
         if final:
             return done
-        todo, number, last = out.filter("sequence_id IS NULL").select(*[F.col(f"`{c}`") for c in pieces.columns]), number + 1, count
+        todo, number, last, before = out.filter("sequence_id IS NULL").select(*[F.col(f"`{c}`") for c in pieces.columns]), number + 1, count, before + blocks
 
 
-def _block_packer(room: int, number: int, final: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Sequence ids are (round, block, bin); bins with space get none unless this is the last round."""
+def _block_packer(room: int, before: int, final: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Sequence ids are (block, bin), with a running number of blocks over all rounds; bins with space get none unless this
+    is the last round."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         lengths = f["length"].tolist()
         bins = pack_block(lengths, room)
         seq: list[int | None] = [None] * len(f)
         offset: list[int | None] = [None] * len(f)
-        base = (number << 58) + (int(f["__b"].iloc[0]) << 22)
+        base = before + int(f["__b"].iloc[0]) << 22
         for k, b in enumerate(bins):
             if not final and sum(lengths[i] for i in b) < room:
                 continue
