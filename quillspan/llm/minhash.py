@@ -23,7 +23,8 @@
    No link between different texts is lost, and a group of near copies costs one pair for each member.
 
 Defined results: null text and text without words have no shingles, are linked with nothing and are
-kept. A null id is kept, without a component. Rows that repeat an id are one node of the graph.
+kept. A null id is kept, without a component. Rows that repeat an id are one node of the graph, with
+the links of all their texts. Very long texts are read whole; columns other than id and text don't matter.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import id_in, id_out, stored
+from quillspan.llm.common import WordCache, id_in, id_out, kept, scratch, stored, unique_join
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 #: Entries of the table of shingle counts that orders shingles by rarity.
@@ -44,14 +45,8 @@ COUNTS = 1 << 18
 LOG_DOUBT = float(-np.log(1e-9) / 2)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept up to a bounded number."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+def word_hashes() -> WordCache:
+    return WordCache(xxhash.xxh64_intdigest)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -63,7 +58,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str | None, words_per: int, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, words_per: int, hashes: WordCache) -> np.ndarray:
     """Sorted distinct hashes of the word shingles: ASCII lower case, words parted by ASCII white space.
     With fewer words than words_per the whole sequence is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -114,11 +109,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.where(same == REGISTERS, 1.0, np.maximum(same - expected, 0) / REGISTERS)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 5) -> DataFrame:
-    """id, n (size of the shingle set), digest, regs, own for each row; the last three are null for an empty set."""
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 5, with_text: bool = False) -> DataFrame:
+    """id, n (size of the shingle set), digest, regs, own and, if asked for, text of each row; digest, regs and own are null for an empty set."""
+    carried = ["id", "text"] if with_text else ["id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, orders = WordHashes(), _borrow_orders()
+        hashes, orders = word_hashes(), _borrow_orders()
         for b in batches:
             rows = []
             for text in b["text"]:
@@ -128,9 +124,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                     rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), regs.tobytes(), own))
                 else:
                     rows.append((0, None, None, 0))
-            yield pd.concat([b[["id"]], pd.DataFrame(rows, columns=["n", "digest", "regs", "own"], index=b.index)], axis=1)
+            yield pd.concat([b[carried], pd.DataFrame(rows, columns=["n", "digest", "regs", "own"], index=b.index)], axis=1)
 
-    return docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, n long, digest binary, regs binary, own int").withColumn("id", id_out())
+    return docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, ", ".join([f"{c} {'long' if c == 'id' else 'string'}" for c in carried] + ["n long, digest binary, regs binary, own int"])).withColumn("id", id_out())
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +149,7 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, words_per: int) ->
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, last_set = WordHashes(), None, None
+        hashes, last, last_set = word_hashes(), None, None
         for p in batches:
             good = []
             for ta, tb in zip(p["ta"], p["tb"], strict=True):
@@ -168,24 +164,20 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, words_per: int) ->
 
 
 def _rarity(texts: DataFrame, words_per: int) -> np.ndarray:
-    """How many of the texts have a shingle of each of COUNTS hash values; tasks' tables are added in two steps."""
+    """How many of the texts have a shingle of each of COUNTS hash values. Tasks give their non-zero counts as rows, which Spark adds up."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, table = WordHashes(), np.zeros(COUNTS, np.int64)
+        hashes, table = word_hashes(), np.zeros(COUNTS, np.int64)
         for b in batches:
             for t in b["text"]:
-                table += np.bincount((shingle_set(t, words_per, hashes) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
-        yield pd.DataFrame({"v": [table.tobytes()]})
-
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros(COUNTS, np.int64)
-        for v in f["v"]:
-            table += np.frombuffer(v, np.int64)
-        return pd.DataFrame({"v": [table.tobytes()]})
+                np.add.at(table, (shingle_set(t, words_per, hashes) % np.uint64(COUNTS)).astype(np.int64), 1)
+        at = np.flatnonzero(table)
+        yield pd.DataFrame({"bucket": at, "n": table[at]})
 
-    tables = texts.select("text").mapInPandas(count, "v binary").withColumn("s", F.spark_partition_id() % 32)
-    summed = tables.groupBy("s").applyInPandas(lambda f: add(f), "v binary").withColumn("s", F.lit(0)).groupBy("s").applyInPandas(lambda f: add(f), "v binary").collect()
-    return np.frombuffer(summed[0]["v"], np.int64) if summed else np.zeros(COUNTS, np.int64)
+    found = texts.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(COUNTS, np.int64)
+    table[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return table
 
 
 def _rest(sides: DataFrame, texts: DataFrame, percent: int, words_per: int) -> DataFrame:
@@ -195,7 +187,7 @@ def _rest(sides: DataFrame, texts: DataFrame, percent: int, words_per: int) -> D
     rarity = _rarity(rows, words_per)
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for f in batches:
             out = []
             for i, comp, apart, t in zip(f["id"], f["comp"], f["apart"], f["text"], strict=True):
@@ -228,17 +220,44 @@ def components(links: DataFrame, first: DataFrame | None = None) -> DataFrame:
         hooked = labels.join(near, "id", "left").withColumn("new", F.least("comp", "m"))
         told = hooked.filter("new < comp").groupBy(F.col("comp").alias("id")).agg(F.min("new").alias("t"))
         hooked = hooked.join(told, "id", "left").select("id", F.col("comp").alias("old"), F.least("new", "t").alias("comp"))
+        hooked = stored(hooked)
         up = hooked.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        after = stored(hooked.join(up, "comp", "left").select("id", F.least("comp", "up").alias("comp"), "old"))
+        # a large component's label is a key of many rows
+        after = stored(unique_join(hooked, up, "comp", "id").select("id", F.least("comp", "up").alias("comp"), "old"))
         if after.filter("comp < old").isEmpty():
             return after.select("id", "comp")
         labels = after.select("id", "comp")
 
 
+def _classes(sk: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Of sketches with ids and shingles: classes of equal sets with a unique number each (id, digest, n, regs, own), and the
+    links (a, b) between classes that repeated ids make (None if no id repeats with another text).
+
+    A class's number is its smallest id. An id with several texts counts for the class of its smallest digest only; a
+    class left without an id gets a number beyond all ids, which can't become a component's smallest."""
+    several = stored(sk.groupBy("id").agg(F.min("digest").alias("own_digest"), F.max("digest").alias("last")).filter("own_digest < last").select("id", "own_digest"))
+    first = [F.first(c).alias(c) for c in ("n", "regs", "own")]
+    if several.isEmpty():
+        return sk.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *first), None
+    rows = sk.join(several, "id", "left").withColumn("counts", F.when(F.col("own_digest").isNull() | (F.col("own_digest") == F.col("digest")), F.col("id")))
+    most = sk.agg(F.max("id").alias("most"))
+    number = F.coalesce("id", F.col("most") + 1 + F.monotonically_increasing_id())
+    classes = stored(rows.groupBy("digest").agg(F.min("counts").alias("id"), F.count(F.lit(1)).alias("copies"), *first).crossJoin(F.broadcast(most)).withColumn("id", number).drop("most"))
+    mine = classes.select("digest", F.col("id").alias("b"))
+    links = rows.filter("own_digest IS NOT NULL").select("digest", "own_digest").distinct().join(mine, "digest").join(classes.select(F.col("digest").alias("own_digest"), F.col("id").alias("a")), "own_digest")
+    return classes, links.filter("a <> b").select("a", "b").distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words_per: int = 5) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept. Linked: 100 * intersection >= percent * union."""
+    with scratch(docs.sparkSession):
+        return kept(_near_groups(docs, id_col, text_col, percent, words_per))
+
+
+def _near_groups(docs: DataFrame, id_col: str, text_col: str, percent: int, words_per: int) -> DataFrame:
     all_sk = stored(sketches(docs, id_col, text_col, words_per))
-    reps = stored(all_sk.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("own").alias("own")))
+    classes, repeats = _classes(all_sk.filter("n > 0 AND id IS NOT NULL"))
+    reps = stored(classes)
     width = 2 * BAND
     key = F.expr(f"explode(transform(sequence(0, {REGISTERS // BAND - 1}), i -> xxhash64(i, substring(regs, i * {width} + 1, {width}))))")
     bands = reps.select("id", key.alias("key"))
@@ -248,11 +267,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pivots = members.join(score, "id").groupBy("key").agg(F.max(F.struct("score", -F.col("id"))).alias("top")).select("key", (-F.col("top.col2")).alias("pivot"))
     grouped = stored(members.select("key", "id").join(pivots, "key"))
     star = stored(_likely(grouped.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), reps, percent))
-    # whole texts of the documents that some band pairs with another; a later step may need any of them
-    texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(members.select("id").distinct(), "id", "left_semi"))
-    links = stored(_links(star, texts, percent, words_per))
+    # whole texts of the classes that some band pairs with another, one row of each class; a later step may need any of them
+    wanted = members.select("id").distinct()
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if repeats is None:
+        texts = stored(plain.join(wanted, "id", "left_semi"))
+    else:
+        # with repeated ids a row is known by its id and digest
+        digests = sketches(docs, id_col, text_col, words_per, True).filter("n > 0 AND id IS NOT NULL").select("digest", "text")
+        texts = stored(digests.join(reps.join(wanted, "id").select("digest", "id"), "digest").groupBy("id").agg(F.min("text").alias("text")))
+    links = _links(star, texts, percent, words_per)
+    links = stored(links if repeats is None else links.unionByName(repeats))
     comp = components(links)
-    labelled = stored(grouped.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    labelled = stored(unique_join(grouped, comp, "id", "key").withColumn("comp", F.coalesce("comp", "id")))
     of_pivot = labelled.filter("id = pivot").select("key", F.col("comp").alias("pcomp"))
     groups = labelled.join(of_pivot, "key").withColumn("apart", F.col("comp") != F.col("pcomp"))
     split = groups.filter("apart").select("key").distinct()
@@ -262,14 +289,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not more.isEmpty():
             comp = components(more.unionByName(links), comp)
     by_digest = reps.select("digest", F.col("id").alias("rep")).join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
-    out = all_sk.select("id", "n", "digest").join(by_digest, "digest", "left")
-    # rows that repeat an id with different texts are one node: the id takes its least component
+    out = unique_join(all_sk.select("id", "n", "digest"), by_digest, "digest", "id")
     comp_id = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
+    if repeats is not None:
+        # a row without words can share its id with rows that have some
+        least = out.groupBy("id").agg(F.min("comp").alias("least"))
+        out, comp_id = unique_join(out, least, "id", "n"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
     out = out.select("id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words_per: int = 5) -> DataFrame:
     """docs with one document of each near-duplicate group; all columns stay as they are."""
-    gone = near_groups(docs, id_col, text_col, percent, words_per).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
+    gone = near_groups(docs, id_col, text_col, percent, words_per).filter("NOT kept").select(F.col(id_col).cast("long").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -61,6 +61,20 @@ def test_odd_rows(spark):
     check(spark, [(4, None), (5, ""), (6, " \t\n"), (None, "a b c d e f"), (7, "A b c d e f"), (7, "A b c d e f"), (3, "a  b\x0bc d e\nf"), (1, "x y"), (2, "X Y"), (9, "x")], 85)
 
 
+def test_an_id_with_several_texts_is_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    check(spark, [(3, a), (7, a), (7, b), (9, b), (9, c), (20, c + " more"), (7, None), (5, ""), (5, c), (30, "else"), (2, "x"), (2, "y"), (2, "z")], 85)
+    check(spark, [(7, a), (7, b), (7, b + " more"), (1, c), (8, b)], 85)
+
+
+def test_very_long_texts_and_other_columns(spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "start " + long), (4, long[: len(long) // 2])]
+    df = spark.createDataFrame([(i, t, t[:3], 1, "k") for i, t in rows], "doc_id long, text string, digest string, n int, key string")
+    assert sorted(tuple(r) for r in M.near_groups(df, percent=85).collect()) == sorted(brute(rows, 85))
+
+
 def test_empty_table(spark):
     assert M.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
