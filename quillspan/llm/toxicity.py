@@ -9,13 +9,14 @@ gradient from forward-backward. Where the bound leaves out labelled documents of
 weigh the inverse of their class's sampling rate (relative to the whole sample), in this fit and in the curve below,
 so that a score means the same for every size of input.
 
-Scoring: emissions are sums of feature weights (kept for each word), chains are runs of up to CHAIN
-tokens of one document, and forward-backward gives each token's marginal. A document's score comes
+Scoring: emissions are sums of feature weights (kept for each word), a chain is a whole document
+of any length, and forward-backward gives each token's marginal. A document's score comes
 from its marginals by a logistic curve fitted to the sample; its spans are the tokens whose
 marginal is at least 0.5, as character offsets.
 
 Defined results: null and empty texts have no tokens and get the curve's score for none; if either
-label is missing from the sample, all scores are 0.
+label is missing from the sample, all scores are 0. Rows that repeat an id are scored each; in the label table the
+greatest label of an id counts; a sample has no more rows than its bounds even if ids repeat. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import id_in, id_out
+from quillspan.llm.common import WordCache, bounded_batches, id_in, id_out
 
 #: Bounds of the training sample: clean and toxic documents.
 SAMPLE_DOCS = (3000, 1500)
-CHAIN, BUCKETS = 64, 1 << 18
+BUCKETS = 1 << 18
+#: Tokens that forward-backward takes side by side (no bound of a chain); tokens of a gradient step, of whole documents.
+SEGMENT, BATCH_TOKENS = 64, 12_000
 WORD = re.compile(r"\w+")
 
 
@@ -67,56 +70,94 @@ def toxic_marks(docs: list[list[str]], labels: list[int]) -> set[str]:
     return {f for f, k in seen[1].items() if k / n[1] >= 8 * seen[0][f] / n[0] and ratio(k, seen[0][f]) >= 36}
 
 
-def chains(n: int) -> list[tuple[int, int]]:
-    return [(a, min(a + CHAIN, n)) for a in range(0, n, CHAIN)]
-
-
-def forward_backward(e: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chains as rows: e (chains x steps) is the toxic label's score over clean's, trans 2 x 2. Returns the marginals of
-    toxic, those of pairs of labels (chains x steps - 1 x 2 x 2) and the log normaliser."""
-    c, t = e.shape
-    score = np.stack([np.zeros_like(e), e], axis=2)
-    fw, bw = np.zeros((c, t, 2)), np.zeros((c, t, 2))
-    fw[:, 0] = score[:, 0]
-    for k in range(1, t):
-        x = fw[:, k - 1, :, None] + trans
-        step = np.logaddexp(x[:, 0], x[:, 1]) + score[:, k]
-        fw[:, k] = np.where(mask[:, k, None], step, fw[:, k - 1])
-    for k in range(t - 2, -1, -1):
-        x = trans + (score[:, k + 1] + bw[:, k + 1])[:, None, :]
-        step = np.logaddexp(x[:, :, 0], x[:, :, 1])
-        bw[:, k] = np.where(mask[:, k + 1, None], step, 0)
-    z = np.logaddexp(fw[:, -1, 0], fw[:, -1, 1])
-    margin = np.exp(np.minimum(fw[:, :, 1] + bw[:, :, 1] - z[:, None], 0)) * mask
-    pair = np.exp(np.minimum(fw[:, :-1, :, None] + trans + (score[:, 1:] + bw[:, 1:])[:, :, None, :] - z[:, None, None, None], 0)) * mask[:, 1:, None, None]
-    return margin, pair, z
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows (all axes but the first) divided by their greatest value, against underflow."""
+    return x / x.reshape(len(x), -1).max(axis=1).reshape(-1, *[1] * (x.ndim - 1))
+
+
+def chain_marginals(e: np.ndarray, sizes: list[int], trans: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Of all tokens of documents in a row, each one chain from end to end: the marginal of toxic and, if asked for, those of
+    the pairs of labels with the token before (tokens x 2 x 2; zeros for a first token). e: the toxic label's score over
+    clean's; trans: 2 x 2 scores.
+
+    Chains are exact at any length: forward-backward runs over segments of SEGMENT tokens side by side as products of 2 x 2
+    matrices, which then are joined along each document."""
+    sizes = np.array([n for n in sizes if n], np.int64)
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(0), np.zeros((0, 2, 2)) if pairs else None
+    n_seg = -(-sizes // SEGMENT)
+    doc = np.repeat(np.arange(len(sizes)), n_seg)
+    index = np.arange(len(doc)) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)
+    begin = np.repeat(np.cumsum(sizes) - sizes, n_seg) + index * SEGMENT
+    length = np.minimum(np.repeat(np.cumsum(sizes), n_seg) - begin, SEGMENT)
+    m, steps = len(doc), np.arange(length.max())
+    mask = steps < length[:, None]
+    place = np.where(mask, begin[:, None] + steps, 0)
+    p = 1 / (1 + np.exp(-np.clip(e, -30, 30)))
+    s = np.stack([1 - p, p], axis=1)[place]
+    s = np.where(mask[:, :, None], np.maximum(s, 1e-14), 1.0)
+    t = np.exp(trans - trans.max())
+    forward, backward = np.empty((m, len(steps), 2, 2)), np.empty((m, len(steps), 2, 2))
+    first, last = index == 0, index == np.repeat(n_seg - 1, n_seg)
+    cur = t[None] * s[:, 0, None, :]
+    cur[first] = s[first, 0, None, :]
+    forward[:, 0] = cur
+    for k in range(1, len(steps)):
+        step = _scaled((cur.reshape(-1, 2) @ t).reshape(-1, 2, 2) * s[:, k, None, :])
+        cur = np.where(mask[:, k, None, None], step, cur)
+        forward[:, k] = cur
+    cur = np.broadcast_to(np.eye(2), (m, 2, 2))
+    backward[:, -1] = cur
+    for k in range(len(steps) - 2, -1, -1):
+        step = _scaled((t[None] * s[:, k + 1, None, :]) @ cur)
+        cur = np.where(mask[:, k + 1, None, None], step, cur)
+        backward[:, k] = cur
+    came, goes = np.zeros((m, 2)), np.ones((m, 2))
+    came[first, 0] = 1.0  # a first segment's matrix has equal rows
+    order = np.argsort(index, kind="stable")
+    levels = np.split(order, np.cumsum(np.bincount(index))[:-1])
+    for own in levels[:-1]:
+        own = own[~last[own]]
+        came[own + 1] = _scaled((came[own, None, :] @ forward[own, -1])[:, 0])
+    for own in levels[:0:-1]:
+        after = s[own, 0] * (backward[own, 0] @ goes[own, :, None])[:, :, 0]
+        goes[own - 1] = _scaled(after @ t.T)
+    a = (came[:, None, None, :] @ forward)[:, :, 0]
+    b = (backward @ goes[:, None, :, None])[:, :, :, 0]
+    both = a * b
+    margin = np.empty(total)
+    margin[place[mask]] = (both[:, :, 1] / both.sum(axis=2))[mask]
+    if not pairs:
+        return margin, None
+    flat_a, flat_b = np.empty((total, 2)), np.empty((total, 2))
+    flat_a[place[mask]], flat_b[place[mask]] = a[mask], (b * s)[mask]
+    pair = np.zeros((total, 2, 2))
+    pair[1:] = flat_a[:-1, :, None] * t * flat_b[1:, None, :]
+    pair[np.cumsum(sizes) - sizes] = 0
+    norm = pair.sum(axis=(1, 2))
+    return margin, pair / np.where(norm > 0, norm, 1)[:, None, None]
 
 
 class Weights:
-    """Scores of words from the model's weights, kept up to a bounded number."""
+    """Scores of words from the model's weights, kept up to a bounded number of bytes."""
 
     def __init__(self, w: np.ndarray):
         self.w = w
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((1 << 16, 3), np.float64)
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        """Places in rows. The words of one call must number fewer than 2^20."""
-        if len(self.index) > 1 << 20:
-            self.index.clear()
-        index = self.index
-        for x in set(words).difference(index):
-            k = index[x] = len(index)
-            if k >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            own = features(x)
-            self.rows[k] = (sum(self.w[bucket(f)] for f in own), self.w[bucket("prev " + own[0])], self.w[bucket("next " + own[0])])
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        self.cache = WordCache(self.row)
+
+    def row(self, word: str) -> tuple[float, float, float]:
+        own = features(word)
+        return float(sum(self.w[bucket(f)] for f in own)), float(self.w[bucket("prev " + own[0])]), float(self.w[bucket("next " + own[0])])
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        known = {x: self.cache[x] for x in set(words)}
+        at = {x: k for k, x in enumerate(known)}
+        return np.array(list(known.values())).reshape(-1, 3)[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
 
     def emissions(self, words: list[str], sizes: list[int]) -> np.ndarray:
         """Of tokens of several documents in a row."""
-        k = self.ids(words)
-        r = self.rows[k]
+        r = self.rows(words)
         e = r[:, 0].copy()
         e[1:] += r[:-1, 1]
         e[:-1] += r[1:, 2]
@@ -128,25 +169,6 @@ class Weights:
         return e
 
 
-def marginals(e: np.ndarray, sizes: list[int], trans: np.ndarray) -> np.ndarray:
-    """Of all tokens, chain by chain."""
-    spans, base = [], 0
-    for n in sizes:
-        spans += [(base + a, base + z) for a, z in chains(n)]
-        base += n
-    out = np.zeros(len(e))
-    for at in range(0, len(spans), 4096):
-        part = spans[at : at + 4096]
-        a = np.array([x for x, _ in part])
-        n = np.array([z - x for x, z in part])
-        steps = np.arange(n.max())
-        mask = steps < n[:, None]
-        place = np.where(mask, a[:, None] + steps, 0)
-        margin = forward_backward(np.where(mask, e[place], 0), trans, mask)[0]
-        out[place[mask]] = margin[mask]
-    return out
-
-
 def summary(m: np.ndarray) -> np.ndarray:
     """A document's features for the curve: log odds of its highest marginal and of any token being toxic, log of the expected number."""
     if not len(m):
@@ -168,59 +190,51 @@ def fit(sample: pd.DataFrame, epochs: int = 6, seed: int = 11) -> dict | None:
     if len(set(labels)) < 2:
         return None
     weights = relative_weights(sample)
-    docs = [tokens(t) for t in sample["text"]]
-    marks = toxic_marks(docs, labels)
+    place: dict[str, int] = {}
+    docs = [np.array([place.setdefault(w, len(place)) for w in tokens(t)], np.int32) for t in sample["text"]]
+    words = list(place)
+    marks = toxic_marks([[words[k] for k in np.unique(d)] for d in docs], labels)
+    own = np.full((len(words), 6), BUCKETS, np.int32)
+    near = np.empty((len(words), 2), np.int32)
+    marked = np.zeros(len(words), bool)
+    for k, x in enumerate(words):
+        f = features(x)
+        own[k, : len(f)] = [bucket(y) for y in f]
+        near[k] = bucket("prev " + f[0]), bucket("next " + f[0])
+        marked[k] = any(y in marks for y in f)
+    del place, words
     rng = np.random.default_rng(seed)
-    items = []  # of each chain: all tokens' features in a row, their number for each token, labels, weight
-    known: dict[str, tuple[list[int], int, int, bool]] = {}
-    for words, label, weight in zip(docs, labels, weights, strict=True):
-        for x in set(words).difference(known):
-            own = features(x)
-            known[x] = ([bucket(f) for f in own], bucket("prev " + own[0]), bucket("next " + own[0]), any(f in marks for f in own))
-        for a, z in chains(len(words)):
-            y = [int(label and known[w][3]) for w in words[a:z]]
-            flat, size = [], []
-            for k in range(a, z):
-                before = len(flat)
-                flat += known[words[k]][0]
-                if k:
-                    flat.append(known[words[k - 1]][1])
-                if k + 1 < len(words):
-                    flat.append(known[words[k + 1]][2])
-                size.append(len(flat) - before)
-            items.append((np.array(flat, np.int32), np.array(size, np.int8), np.array(y, np.int8), weight))
-    del docs, known
-    w, g2 = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
+    w, g2 = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-3)  # the last bucket stands for no feature
     trans, t2 = np.zeros((2, 2)), np.full((2, 2), 1e-3)
-    for epoch in range(epochs):
-        order = rng.permutation(len(items))
-        for at in range(0, len(order), 256):
-            batch = [items[k] for k in order[at : at + 256]]
-            n = np.array([len(y) for _, _, y, _ in batch])
-            share = np.array([x for *_, x in batch])
-            steps = np.arange(n.max())
-            mask = steps < n[:, None]
-            where = np.concatenate([f for f, _, _, _ in batch])
-            size = np.concatenate([k for _, k, _, _ in batch])
-            token = np.repeat(np.arange(len(size)), size)
-            e = np.zeros(mask.shape)
-            e[mask] = np.bincount(token, w[where], minlength=len(size))
-            margin, pair, _ = forward_backward(e, trans, mask)
-            y = np.zeros(mask.shape)
-            y[mask] = np.concatenate([v for _, _, v, _ in batch])
-            err = ((y - margin) * share[:, None])[mask]
-            grad = np.bincount(where, err[token], minlength=BUCKETS) - 1e-4 * w
+    for _ in range(epochs):
+        order = [k for k in rng.permutation(len(docs)).tolist() if len(docs[k])]
+        ends = np.cumsum([len(docs[k]) for k in order])
+        for batch in np.split(np.array(order), np.flatnonzero(np.diff(ends // BATCH_TOKENS)) + 1):
+            sizes = [len(docs[k]) for k in batch]
+            ids = np.concatenate([docs[k] for k in batch])
+            share = np.repeat(weights[batch], sizes)
+            toxic = np.repeat(np.array(labels)[batch], sizes) > 0
+            begins = np.zeros(len(ids), bool)
+            begins[np.cumsum(sizes) - sizes] = True
+            where = np.full((len(ids), 8), BUCKETS, np.int32)
+            where[:, :6] = own[ids]
+            inner = np.flatnonzero(~begins)
+            where[inner, 6] = near[ids[inner - 1], 0]
+            where[inner - 1, 7] = near[ids[inner], 1]
+            margin, pair = chain_marginals(w[where].sum(axis=1), sizes, trans, True)
+            y = toxic & marked[ids]
+            grad = np.bincount(where.ravel(), np.repeat((y - margin) * share, 8), minlength=BUCKETS + 1) - 1e-4 * w
             touched = np.unique(where)
+            touched = touched[touched < BUCKETS]
             g2[touched] += grad[touched] ** 2
             w[touched] += 0.5 * grad[touched] / np.sqrt(g2[touched])
-            yi = y.astype(int)
             real = np.zeros((2, 2))
-            both = mask[:, 1:]
-            np.add.at(real, (yi[:, :-1][both], yi[:, 1:][both]), np.broadcast_to(share[:, None], both.shape)[both])
-            tg = real - (pair * share[:, None, None, None]).sum(axis=(0, 1)) - 1e-3 * trans
+            np.add.at(real, (y[inner - 1].astype(int), y[inner].astype(int)), share[inner])
+            tg = real - (pair * share[:, None, None]).sum(axis=0) - 1e-3 * trans
             t2 += tg**2
             trans += 0.2 * tg / np.sqrt(t2)
-    model = {"w": w.astype(np.float32), "trans": trans}
+    del docs, own, near
+    model = {"w": w[:BUCKETS].astype(np.float32), "trans": trans}
     x = np.array([summary(m) for m in document_marginals(sample["text"].tolist(), Weights(model["w"]), trans)])
     model["curve"] = _logistic(x, np.array(labels, float), weights)
     return model
@@ -245,9 +259,9 @@ def document_marginals(texts: list[str | None], weights: Weights, trans: np.ndar
     words: list[str] = []
     sizes: list[int] = []
     for k, t in enumerate([*texts, None]):
-        if k == len(texts) or len(words) > 200_000:
+        if k == len(texts) or len(words) > 100_000:
             if words:
-                m = marginals(weights.emissions(words, sizes), sizes, trans)
+                m = chain_marginals(weights.emissions(words, sizes), sizes, trans)[0]
                 out += np.split(m, np.cumsum(sizes)[:-1])
             else:
                 out += [np.zeros(0)] * len(sizes)
@@ -287,7 +301,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("__id"), "__id").limit(most[y]) for y in (0, 1)]
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    sample = rows.join(F.broadcast(parts[0].unionByName(parts[1])), "__id").select("__id", "text", "label").toPandas().sort_values(["__id", "text"], na_position="first")
+    chosen = rows.join(F.broadcast(parts[0].unionByName(parts[1])), "__id").select("__id", "text", "label")
+    # an id can have many rows: of each class as many stay as ids were chosen
+    taken = [chosen.filter(F.col("label") == y).orderBy(F.xxhash64("__id", "text"), "__id").limit(most[y]) for y in (0, 1)]
+    sample = taken[0].unionByName(taken[1]).toPandas().sort_values(["__id", "text"], na_position="first", ignore_index=True)
     sample["weight"] = [max(1.0, total[y] / most[y]) for y in sample["label"]]
     return sample
 
@@ -300,6 +317,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
         for f in frames:
             yield pd.concat([f[["id"]], pd.DataFrame(score_texts(f["text"].tolist(), model, weights, with_spans), columns=["score", "spans"], index=f.index)], axis=1)
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInPandas(run, "id long, score double, spans array<struct<start:int,end:int,marginal:double>>")
     return out.withColumn("id", id_out()).withColumnRenamed("id", id_col)
@@ -313,5 +331,6 @@ def drop_toxic(docs: DataFrame, model: dict | None, threshold: float = 0.3, text
         for texts in frames:
             yield pd.Series([s for s, _ in score_texts(texts.tolist(), model, weights, False)], dtype="float64")
 
+    bounded_batches(docs.sparkSession)
     scorer = F.pandas_udf(run, "double")
     return docs.filter(scorer(F.col(f"`{text_col}`").cast("string")) < threshold)

@@ -7,25 +7,55 @@ import pandas as pd
 from quillspan.llm import toxicity as T
 
 
-def test_forward_backward_against_all_paths():
+def paths(e, trans):
+    """Marginals of one chain and of its pairs by listing all paths."""
+    n = len(e)
+    total, on, both = 0.0, np.zeros(n), np.zeros((n, 2, 2))
+    for path in itertools.product((0, 1), repeat=n):
+        p = np.exp(sum(e[k] * y for k, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])))
+        total += p
+        on += p * np.array(path)
+        for k in range(1, n):
+            both[k, path[k - 1], path[k]] += p
+    return on / total, both / total
+
+
+def test_forward_backward_against_all_paths(monkeypatch):
     rng = np.random.default_rng(3)
-    trans = rng.normal(size=(2, 2))
-    e = rng.normal(size=(3, 6))
-    mask = np.arange(6) < np.array([6, 4, 1])[:, None]
-    margin, pair, z = T.forward_backward(np.where(mask, e, 0), trans, mask)
-    for c, n in enumerate((6, 4, 1)):
-        total, on = 0.0, np.zeros(6)
-        both = np.zeros((5, 2, 2))
-        for path in itertools.product((0, 1), repeat=n):
-            p = np.exp(sum(e[c, k] * y for k, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])))
-            total += p
-            for k, y in enumerate(path):
-                on[k] += p * y
-            for k in range(n - 1):
-                both[k, path[k], path[k + 1]] += p
-        assert np.isclose(z[c], np.log(total))
-        assert np.allclose(margin[c], on / total)
-        assert np.allclose(pair[c], both / total)
+    trans = rng.normal(size=(2, 2)) * 2
+    sizes = [6, 0, 9, 1, 3, 4, 12]
+    e = rng.normal(size=sum(sizes)) * 3
+    for segment in (64, 3, 1):  # chains longer than a segment are one chain still
+        monkeypatch.setattr(T, "SEGMENT", segment)
+        margin, pair = T.chain_marginals(e, sizes, trans, True)
+        at = 0
+        for n in sizes:
+            if n:
+                on, both = paths(e[at : at + n], trans)
+                assert np.allclose(margin[at : at + n], on) and np.allclose(pair[at : at + n], both)
+            at += n
+
+
+def test_a_long_document_is_one_chain():
+    e = np.zeros(1000)
+    e[0] = 20.0  # labels that never change carry the first token's to the last
+    margin, _ = T.chain_marginals(e, [1000], np.array([[30.0, 0.0], [0.0, 30.0]]))
+    assert margin.min() > 0.99
+
+
+def test_scores_against_a_plain_version(spark):
+    rows = corpus()[:80]
+    model = T.fit(pd.DataFrame([(t, y) for _, t, y in rows], columns=["text", "label"]))
+    texts = [(i, " ".join(t.split()[: 4 + i % 8]) or "x") for i, t, _ in rows] + [(900, "ban grobblend tem"), (901, "")]
+    got = {r.doc_id: r.score for r in T.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, t in texts:
+        w = t.lower().replace(".", "").split()
+        e = np.array([sum(model["w"][T.bucket(f)] for f in T.features(x)) for x in w])
+        for k in range(1, len(w)):
+            e[k] += model["w"][T.bucket(f"prev w={w[k - 1]}")]
+            e[k - 1] += model["w"][T.bucket(f"next w={w[k]}")]
+        x = np.append(T.summary(paths(e, model["trans"])[0] if w else np.zeros(0)), 1.0) @ model["curve"]
+        assert abs(got[i] - 1 / (1 + np.exp(-x))) < 1e-5
 
 
 def corpus():
@@ -81,6 +111,12 @@ def test_sample_is_bounded(spark):
     assert s["label"].value_counts().to_dict() == {0: 7, 1: 5}
 
 
+def test_sample_is_bounded_though_ids_repeat(spark):
+    docs = spark.range(1000).selectExpr("id % 4 AS doc_id", "'t' || id AS text")
+    labels = spark.range(4).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    assert len(T.training_sample(docs, labels, most=(7, 5))) == 12
+
+
 def test_score_means_the_same_for_a_sample():
     rng = random.Random(5)
     plain = lambda: " ".join(rng.choice(["ban", "tem", "kilo", "murd", "lost", "benn"]) for _ in range(40))
