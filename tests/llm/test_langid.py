@@ -1,4 +1,6 @@
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.llm import langid as L
@@ -20,8 +22,6 @@ def test_learns_and_matches_a_plain_version(spark):
         for _, g in L.grams(L.codes_of(r.text)):
             for b in g.tolist():
                 counts[r.lang][b] += 1
-    import numpy as np
-
     for k, x in enumerate(langs):
         c = np.array(counts[x]) + 0.5
         assert np.allclose(matrix[: L.BUCKETS, k], np.log(c / c.sum()), atol=1e-4)
@@ -29,14 +29,28 @@ def test_learns_and_matches_a_plain_version(spark):
     assert all(r.lang == r.lang_pred and 0.5 < r.score <= 1 for r in out)
 
 
-def test_pieces_change_nothing(spark, monkeypatch):
+def test_batches_and_pieces_change_nothing(spark, monkeypatch):
     langs, matrix = L.train(docs(spark))
-    text = "the garden and der Fluss " * 50
-    whole = L.text_scores(text, matrix)
+    texts = ["the garden and der Fluss " * 50, "a", "", "ging mit", "the garden " * 9]
+    whole = L.batch_scores(texts, matrix)
+    for k, text in enumerate(texts):
+        plain = matrix[L.BUCKETS].astype(float) + sum(matrix[b].astype(float) for _, g in L.grams(L.codes_of(text)) for b in g.tolist())
+        assert np.allclose(whole[k], plain, atol=1e-2)
     monkeypatch.setattr(L, "PIECE", 37)
-    parts = L.text_scores(text, matrix)
-    # the shorter n-grams over a seam count twice, no n-gram is lost
-    assert parts.argmax() == whole.argmax()
+    assert np.allclose(L.batch_scores(texts, matrix), whole, atol=1e-6)
+
+
+def test_held_out_accuracy(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    from quillspan.llm import queries
+
+    out = queries.op10_language_id(spark, "/root/testdata/sf0.01").filter("held_out AND lang_pred <> 'und'")
+    true = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL").select("doc_id", "lang")
+    got = out.join(true, "doc_id").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok")).agg(F.avg("ok")).collect()[0][0]
+    assert got > 0.98
 
 
 def test_odd_rows(spark):
