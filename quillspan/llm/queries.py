@@ -32,7 +32,30 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), percent=85, words_per=5)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+         ELSE list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) END AS s FROM rows),
+sized AS (SELECT doc_id, s, len(s) AS n FROM sets),
+classes AS (SELECT min(doc_id) AS rep, n, list_sort(s) AS s FROM sized WHERE n > 0 GROUP BY n, list_sort(s)),
+each AS (SELECT rep, n, unnest(s) AS x FROM classes),
+pairs AS (
+  SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS same FROM each a JOIN each b ON a.x = b.x AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n),
+links AS (
+  SELECT a, b FROM pairs WHERE 100 * same >= 85 * (na + nb - same)
+  UNION SELECT c.rep, z.doc_id FROM sized z JOIN classes c ON c.n = z.n AND c.s = list_sort(z.s)
+  UNION SELECT z.doc_id, c.rep FROM sized z JOIN classes c ON c.n = z.n AND c.s = list_sort(z.s)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, coalesce(least(doc_id, m), doc_id) AS component_id, doc_id = coalesce(least(doc_id, m), doc_id) AS kept
+FROM sized LEFT JOIN least USING (doc_id)
+"""
+
 QUERIES["op2_near_dedup"] = op2_near_dedup
+ORACLE_SQL["op2_near_dedup"] = OP2_SQL
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +64,27 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"), length=50).drop("spans")
 
 
+OP8_SQL = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (
+  SELECT doc_id, unnest(range(greatest(n - 49, 0))) AS p, unnest(list_transform(range(greatest(n - 49, 0)), lambda p: substr(h, 2 * p + 1, 100))) AS g FROM d),
+early AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, p FROM w JOIN early USING (g) WHERE doc_id > m),
+mark AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM mark),
+span AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM run GROUP BY doc_id, k),
+gap AS (SELECT doc_id, k, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS s, a, z FROM span),
+cut AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * s + 1 AS BIGINT), CAST(2 * (a - s) AS BIGINT)), '' ORDER BY k) || substr(any_value(h), CAST(2 * max(z) + 1 AS BIGINT)) AS rest,
+         sum(z - a) AS gone, count(*) AS spans
+  FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
 QUERIES["op8_suffix_dedup"] = op8_suffix_dedup
+ORACLE_SQL["op8_suffix_dedup"] = OP8_SQL
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -1,7 +1,8 @@
-"""Removal of byte strings that an earlier document has, by suffix ranks limited to the depth of a window.
+"""Removal of byte strings that an earlier document has, by longest-previous-factor arrays.
 
-A byte goes if a window of `length` bytes around it also starts in a document with a smaller id.
-One suffix array of all text is not needed: equal windows have equal minimizers (the least hash of
+A byte goes if a window of `length` bytes around it also starts in a document with a smaller id, that is,
+if the longest previous factor of a suffix - its longest match with a suffix of an earlier document - is at least
+`length` bytes long. One suffix array of all text is not needed: equal windows have equal minimizers (the least hash of
 their 16-byte grams), so the windows of a document are cut into runs with one minimizer, and only
 runs with equal minimizers have to meet.
 
@@ -11,14 +12,14 @@ runs with equal minimizers have to meet.
 3. The text of the runs with such minimizers goes to the minimizer's group. Within a batch, a run
    whose text an earlier document of the batch has is settled there, so what a popular passage
    sends is one run for each batch and not one for each document.
-4. Each group's runs are joined to one text; its suffixes are ranked by the first window of bytes, and a
-   suffix has an earlier match if the least document id of its rank is smaller than its own. Lengths of
-   longest previous factors and previous and next smaller positions are not computed: only whether
-   one reaches a window decides, and it does exactly if a smaller id has the same rank.
+4. The suffixes that begin a window of a group's runs are sorted by their first `length` bytes, ties by document id. In
+   that order the previous and next smaller document ids are found, and the longer match with either suffix is the
+   longest previous factor, up to `length`: any suffix between has a greater id, any one beyond a shorter match.
 5. The matched windows' bytes return to their documents and are cut out.
 
 Defined results: null text counts as empty; documents shorter than a window stay whole; rows with a
-null id stay whole and match nothing; rows that repeat an id never remove from each other.
+null id stay whole and match nothing; rows that repeat an id never remove from each other, as ties of equal ids keep
+both; an empty table gives no rows; columns other than id and text don't matter; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -44,36 +45,86 @@ OWN = b"OWN!"
 MASK48 = np.uint64((1 << 48) - 1)
 
 
-def suffix_ranks(t: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes of the byte array by their first `depth` bytes (at least 8); those that run
-    past the end are filled with zeros. Equal ranks: equal prefixes."""
-    pad = np.concatenate([t.astype(np.uint64), np.zeros(depth + 8, np.uint64)])
-    word = pad
+def prefix_words(t: np.ndarray, pos: np.ndarray, depth: int) -> np.ndarray:
+    """The first `depth` bytes of the suffixes at pos as big-endian 64-bit words (words x suffixes), zeros beyond the end."""
+    word = np.concatenate([t.astype(np.uint64), np.zeros(depth + 16, np.uint64)])
     for step in (1, 2, 4):
         word = (word[:-step] << np.uint64(8 * step)) | word[step:]
-    at, done = word, 8
-    n = len(at)
-    rank = np.unique(at, return_inverse=True)[1].astype(np.int64)
-    while done < depth:
-        step = min(done, depth - done)
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:]
-        rank = np.unique(rank * (int(second.max()) + 1) + second, return_inverse=True)[1].astype(np.int64)
-        done += step
-    return rank[: len(t)]
-
-
-def previous_factors(rank: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
-    """Longest match, up to depth, of each suffix with a suffix of a smaller owner, as depth or 0 (shorter
-    matches don't matter to the caller). In suffix order with ties by owner, all smaller owners of a tie
-    stand before; the previous smaller value is in the tie unless the tie begins with the same owner, and
-    the next smaller value never is."""
-    order = np.lexsort((owner, rank))
-    r, o = rank[order], owner[order]
-    head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    least = np.repeat(o[head], np.diff(np.concatenate([head, [len(r)]])))
-    out = np.zeros(len(rank), np.int64)
-    out[order] = np.where(least < o, depth, 0)
+    out = np.stack([word[pos + k] for k in range(0, depth, 8)])
+    if depth % 8:
+        out[-1] &= ~np.uint64(0) << np.uint64(64 - 8 * (depth % 8))
+    return out
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """How many bytes suffixes (words x suffixes) share at their beginning, up to depth."""
+    x = a ^ b
+    first = (x != 0).argmax(axis=0)
+    x = x[first, np.arange(x.shape[1])]
+    inside = sum((x < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+    return np.where(x == 0, depth, np.minimum(8 * first + inside, depth))
+
+
+def previous_smaller(v: np.ndarray) -> np.ndarray:
+    """For each value the last place before it with a smaller value, or -1; all searches go up and down one tree of minima together."""
+    n = len(v)
+    out = np.full(n, -1, np.int64)
+    near = np.flatnonzero(v[1:] > v[:-1]) + 1
+    out[near] = near - 1
+    tree = [v]
+    while len(tree[-1]) > 1:
+        m = tree[-1]
+        m = np.concatenate([m, np.full(len(m) % 2, np.iinfo(v.dtype).max, v.dtype)])
+        tree.append(np.minimum(m[::2], m[1::2]))
+    todo = np.flatnonzero(out < 0)
+    end = todo.copy()  # the search goes leftward from here, in units of the level
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    for m in tree:
+        odd = end % 2 == 1
+        hit = odd & (m[np.maximum(end - 1, 0)] < v[todo])
+        waiting.append((todo[hit], end[hit] - 1))
+        todo, end = todo[~hit], end[~hit] // 2
+        todo, end = todo[end > 0], end[end > 0]
+    who, at = np.empty(0, np.int64), np.empty(0, np.int64)
+    for level in range(len(waiting) - 1, -1, -1):
+        if len(who):
+            right = np.minimum(2 * at + 1, len(tree[level]) - 1)
+            at = np.where((2 * at + 1 < len(tree[level])) & (tree[level][right] < v[who]), right, 2 * at)
+        who, at = np.concatenate([who, waiting[level][0]]), np.concatenate([at, waiting[level][1]])
+    out[who] = at
+    return out
+
+
+def longest_previous_factors(t: np.ndarray, pos: np.ndarray, owner: np.ndarray, depth: int, least: int = 1) -> np.ndarray:
+    """Of the suffixes of byte array t at pos, the length (up to depth) of the longest match with one of a smaller owner;
+    0 where that is less than `least`. Suffixes with no neighbour in the order that matches `least` bytes are left out early."""
+    out = np.zeros(len(pos), np.int64)
+    words = prefix_words(t, pos, depth)
+    order = np.lexsort((owner, *words[::-1]))
+    words, o = words[:, order], owner[order]
+    if not len(order):
+        return out
+    lcp = common_prefix(words[:, 1:], words[:, :-1], depth)
+    group = np.concatenate([[0], np.cumsum(lcp < least)])
+    # of each stretch of matching suffixes: whether it has several owners, and whether their ids ever fall
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    several = np.maximum.reduceat(o, begin) != np.minimum.reduceat(o, begin)
+    falls = np.zeros(len(o), np.int64)
+    falls[1:] = (o[1:] < o[:-1]) & (group[1:] == group[:-1])
+    falls = np.add.reduceat(falls, begin) > 0
+    size = np.diff(np.concatenate([begin, [len(o)]]))
+    for wanted, step in ((several, 1), (several & falls, -1)):  # the previous, then the next smaller owner
+        k = np.flatnonzero(np.repeat(wanted, size))[::step]
+        if not len(k):
+            continue
+        ranks = np.unique(o[k], return_inverse=True)[1].astype(np.int64)
+        # stretches that the search has left behind hold greater values only
+        far = group[k] if step < 0 else group[-1] - group[k]
+        p = previous_smaller(ranks + far * (int(ranks.max()) + 1))
+        has = np.flatnonzero(p >= 0)
+        a, b = k[has], k[p[has]]
+        match = np.full(len(a), depth) if least == depth else common_prefix(words[:, a], words[:, b], depth)
+        out[order[a]] = np.maximum(out[order[a]], match)
     return out
 
 
@@ -299,10 +350,9 @@ def _matches(length: int):
         starts = np.cumsum(sizes) - sizes
         if not len(sizes):
             return pd.DataFrame(out, columns=["id", "key", "blob"])
-        rank = suffix_ranks(t, length)
         which = np.repeat(np.arange(len(sizes)), sizes - length + 1)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(sizes - length + 1) - (sizes - length + 1), sizes - length + 1)
-        factor = previous_factors(rank[starts[which] + offset], meta[which, 0], length)
+        factor = longest_previous_factors(t, starts[which] + offset, meta[which, 0], length, least=length)
         hit = np.flatnonzero(factor >= length)
         w, o = which[hit], offset[hit]
         runs = _groups(w, o - np.arange(len(o)))
