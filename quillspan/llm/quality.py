@@ -11,7 +11,10 @@
    Adagrad to the soft labels.
 4. The scorer scores every whole text; a score is the probability that a document is good.
 
-Defined results: null and empty texts have no words, the votes of a text without words, and score 0.
+Defined results: null and empty texts have no words, the votes of a text without words, and score 0. Rows that repeat
+an id are scored each and count each in the patterns; of an empty table nothing is learned and no row comes out; ties
+between good and poor votes are for EM to settle; the sample has no more rows than its bound even if ids repeat; columns
+other than id and text don't matter; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import id_in, id_out
+from quillspan.llm.common import WordCache, bounded_batches, id_in, id_out
 
 #: Bound of the sample that the linear scorer is fitted on.
 FIT_DOCS = 4000
@@ -72,7 +75,7 @@ def votes(text: str | None) -> str:
 
 def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[str, float]]:
     """Share of good documents, probabilities (labeller x class x vote) and the posterior of each pattern, by EM from
-    the majority vote. Votes: 0 poor, 1 good, 2 none."""
+    the weighed votes, a poor one counting four times a good one. Votes: 0 poor, 1 good, 2 none."""
     keys = sorted(patterns)
     if not keys:
         return 0.5, np.zeros((0, 2, 3)), {}
@@ -100,18 +103,9 @@ def word_features(word: str) -> list[str]:
     return ["w=" + core.lower(), "s=" + shape, f"l={min(len(core), 20)}"]
 
 
-class WordScores(dict):
-    """Sums of a model's weights for words, kept up to a bounded number."""
-
-    def __init__(self, w: np.ndarray):
-        super().__init__()
-        self.w = w
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > 1 << 20:
-            self.clear()
-        self[word] = s = float(sum(self.w[xxhash.xxh3_64_intdigest(f) % BUCKETS] for f in word_features(word)))
-        return s
+def word_scores(w: np.ndarray) -> WordCache:
+    """Sums of a model's weights for words."""
+    return WordCache(lambda word: float(sum(w[xxhash.xxh3_64_intdigest(f) % BUCKETS] for f in word_features(word))))
 
 
 def dense(words: list[str]) -> np.ndarray:
@@ -147,12 +141,14 @@ def fit(sample: pd.DataFrame, epochs: int = 8, seed: int = 7) -> dict:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> dict:
     """The scorer's weights, with the estimates behind its labels: share, accuracies, posterior."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     vote = F.pandas_udf(lambda t: t.map(votes), "string")
     patterns = {r["v"]: r["count"] for r in rows.select(vote("text").alias("v")).groupBy("v").count().collect()}
     share, p, posterior = estimate(patterns)
     chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(fit_docs)
-    sample = rows.join(F.broadcast(chosen.distinct()), "id").toPandas().sort_values(["id", "text"], na_position="first")
+    taken = rows.join(F.broadcast(chosen.distinct()), "id").orderBy(F.xxhash64("id", "text"), "id").limit(fit_docs)
+    sample = taken.toPandas().sort_values(["id", "text"], na_position="first")
     sample["p"] = [posterior.get(votes(t), 0.5) for t in sample["text"]]
     return {**fit(sample), "share": share, "accuracies": dict(zip(LABELLERS, p.tolist(), strict=False)), "posterior": posterior}
 
@@ -162,7 +158,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     w, d, posterior = model["w"], model["d"], model["posterior"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = WordScores(w)
+        scores = word_scores(w)
         for f in frames:
             out = []
             for t in f["text"]:
