@@ -117,23 +117,27 @@ def id_out(col: str = "id") -> Column:
 
 
 class WordCache(dict):
-    """Values of words, made by `make` and kept up to a bounded number of bytes; a full cache begins anew."""
+    """Values of words, made by `make` and kept up to a bounded number, in two generations: when the young one is full it
+    becomes the old one, and words that are met again move on, so that frequent words stay. Words over LONGEST characters
+    are not kept, so the bound is one of bytes as well (about 200 for a word of usual length)."""
 
-    BYTES = 24 << 20
+    WORDS, LONGEST = 300_000, 64
 
     def __init__(self, make: Callable | None = None):
         super().__init__()
-        self.make, self.size = make, 0
+        self.make, self.old = make, {}
 
-    def put(self, word, value) -> None:
-        # a slot of a growing dict takes about 100 bytes
-        self.size += sys.getsizeof(word) + sys.getsizeof(value) + 100
-        if self.size > self.BYTES:
+    def age(self) -> None:
+        """Makes room if the young generation is full."""
+        if 2 * len(self) >= self.WORDS:
+            self.old = dict(self)
             self.clear()
-            self.size = 0
-        self[word] = value
 
     def __missing__(self, word):
-        value = self.make(word)
-        self.put(word, value)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= self.LONGEST:
+            self.age()
+            self[word] = value
         return value

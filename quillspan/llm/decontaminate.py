@@ -50,12 +50,19 @@ SLOTS = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>")) & ~FLAGS | np.uint64(4)
 
 def word_code(word: str) -> int:
     """64-bit hash of a word's core in lower case, with flags in its low bits; only ENDS for mere punctuation."""
-    ends = int(word[-1:] in ".!?:;…" or word.rstrip("\"')]")[-1:] in ".!?")
-    core = _OUTER.sub("", word)
-    if not _WORD.search(core):
-        return ends
-    low = core.lower()
-    kind = 4 if NUMBER.match(low) else 8 if low in UNITS else 2 if core[:1].isupper() and any(c.islower() for c in core) else 0
+    if word == "\n":
+        return 1  # a line's end ends a sentence
+    core = word if word.isalpha() else word[:-1]
+    if core.isalpha() and (core is word or word[-1] in ",;.!?:"):
+        ends, low, number = int(core is not word and word[-1] not in ","), core.lower(), False
+    else:
+        ends = int(word[-1:] in ".!?:;…" or word.rstrip("\"')]")[-1:] in ".!?")
+        core = _OUTER.sub("", word)
+        if not _WORD.search(core):
+            return ends
+        low = core.lower()
+        number = NUMBER.match(low)
+    kind = 4 if number else 8 if low in UNITS else 2 if core[:1].isupper() and not core.isupper() else 0
     return xxhash.xxh64_intdigest(low) & ~31 | 16 | kind | ends
 
 
@@ -77,9 +84,8 @@ class Template:
     def __init__(self, text: str | None, cache: WordCache):
         self.parts = split(text)
         raw = np.fromiter(map(cache.__getitem__, self.parts), np.uint64, len(self.parts))
-        line_end = np.fromiter((p == "\n" for p in self.parts), bool, len(self.parts))
         begins = np.ones(len(raw), bool)
-        begins[1:] = ((raw[:-1] & ENDS) > 0) | line_end[:-1]
+        begins[1:] = (raw[:-1] & ENDS) > 0
         self.real = np.flatnonzero(raw & IS_WORD)
         raw, begins = raw[self.real], begins[self.real]
         self.exact = raw & ~FLAGS

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import WordCache, id_in, id_out, kept, scratch, stored, unique_join
+from quillspan.llm.common import id_in, id_out, kept, scratch, stored, unique_join
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 #: Entries of the table of shingle counts that orders shingles by rarity.
@@ -45,10 +45,6 @@ COUNTS = 1 << 18
 LOG_DOUBT = float(-np.log(1e-9) / 2)
 
 
-def word_hashes() -> WordCache:
-    return WordCache(xxhash.xxh64_intdigest)
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """The finaliser of MurmurHash3."""
     h = h ^ (h >> np.uint64(33))
@@ -58,13 +54,13 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str | None, words_per: int, hashes: WordCache) -> np.ndarray:
+def shingle_set(text: str | None, words_per: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles: ASCII lower case, words parted by ASCII white space.
     With fewer words than words_per the whole sequence is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     k = min(words_per, len(words))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for j in range(k):
@@ -114,11 +110,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     carried = ["id", "text"] if with_text else ["id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, orders = word_hashes(), _borrow_orders()
+        orders = _borrow_orders()
         for b in batches:
             rows = []
             for text in b["text"]:
-                s = shingle_set(text, words_per, hashes)
+                s = shingle_set(text, words_per)
                 if len(s):
                     regs, own = registers(s, orders)
                     rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), regs.tobytes(), own))
@@ -149,13 +145,13 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, words_per: int) ->
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, last_set = word_hashes(), None, None
+        last, last_set = None, None
         for p in batches:
             good = []
             for ta, tb in zip(p["ta"], p["tb"], strict=True):
                 if tb is None or tb != last:
-                    last, last_set = tb, shingle_set(tb, words_per, hashes)
-                s = shingle_set(ta, words_per, hashes)
+                    last, last_set = tb, shingle_set(tb, words_per)
+                s = shingle_set(ta, words_per)
                 same = len(np.intersect1d(s, last_set, assume_unique=True))
                 good.append(same > 0 and 100 * same >= percent * (len(s) + len(last_set) - same))
             yield p.loc[good, ["a", "b"]]
@@ -167,10 +163,10 @@ def _rarity(texts: DataFrame, words_per: int) -> np.ndarray:
     """How many of the texts have a shingle of each of COUNTS hash values. Tasks give their non-zero counts as rows, which Spark adds up."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, table = word_hashes(), np.zeros(COUNTS, np.int64)
+        table = np.zeros(COUNTS, np.int64)
         for b in batches:
             for t in b["text"]:
-                np.add.at(table, (shingle_set(t, words_per, hashes) % np.uint64(COUNTS)).astype(np.int64), 1)
+                np.add.at(table, (shingle_set(t, words_per) % np.uint64(COUNTS)).astype(np.int64), 1)
         at = np.flatnonzero(table)
         yield pd.DataFrame({"bucket": at, "n": table[at]})
 
@@ -187,11 +183,10 @@ def _rest(sides: DataFrame, texts: DataFrame, percent: int, words_per: int) -> D
     rarity = _rarity(rows, words_per)
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = word_hashes()
         for f in batches:
             out = []
             for i, comp, apart, t in zip(f["id"], f["comp"], f["apart"], f["text"], strict=True):
-                s = shingle_set(t, words_per, hashes)
+                s = shingle_set(t, words_per)
                 n = len(s)
                 if n:
                     first = n - -(-percent * n // 100) + 1

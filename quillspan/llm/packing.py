@@ -76,30 +76,35 @@ class WordIds(WordCache):
         core = word if word.isalpha() else word.rstrip(self.CLOSING)
         if not self.direct or not core.isalpha():
             return None
-        ids = self.letters(core)
-        if ids is None or len(core) == len(word):
+        ids = self.get(core) or self.old.get(core)
+        if ids is None:
+            ids = self.letters(core)
+            if ids is None:
+                return None
+            self[core] = ids
+        if len(core) == len(word):
             return ids
         tail = word[len(core) :]
         if tail not in self:
-            self.put(tail, self.encoded([tail])[0])
+            self[tail] = self.encoded([tail])[0]
         return ids + self[tail]
 
     def ids(self, texts: list[list[str]]) -> Iterator[bytes]:
-        """Ids of texts that are split into words. New words of all texts go to the encoder together."""
-        own, new = {}, []
-        for w in set().union(*texts):
-            if w in self:
-                own[w] = self[w]
+        """Ids of texts that are split into words. New words of all texts go to the encoder together; room is made only
+        between two calls, so that all words of a call are here at its end."""
+        self.age()
+        old, odd, made = self.old, [], self.of_letters
+        for w in [w for w in set().union(*texts) if w not in self]:
+            ids = old.get(w) or made(w)
+            if ids is None:
+                odd.append(w)
             else:
-                new.append(w)
-        made = {w: self.of_letters(w) for w in new}
-        odd = [w for w in new if made[w] is None]
-        made.update(zip(odd, self.encoded(odd), strict=True))
-        own |= made
+                self[w] = ids
+        self.update(zip(odd, self.encoded(odd), strict=True))
         for words in texts:
-            yield b"".join(map(own.__getitem__, words))
-        for w, ids in made.items():
-            self.put(w, ids)
+            yield b"".join(map(self.__getitem__, words))
+        for w in [w for w in odd if len(w) > self.LONGEST]:
+            del self[w]
 
 
 def word_parts(text: str) -> list[str]:

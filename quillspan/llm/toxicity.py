@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import WordCache, bounded_batches, id_in, id_out
+from quillspan.llm.common import bounded_batches, id_in, id_out
 
 #: Bounds of the training sample: clean and toxic documents.
 SAMPLE_DOCS = (3000, 1500)
@@ -140,20 +140,30 @@ def chain_marginals(e: np.ndarray, sizes: list[int], trans: np.ndarray, pairs: b
 
 
 class Weights:
-    """Scores of words from the model's weights, kept up to a bounded number of bytes."""
+    """Scores of words from the model's weights, kept up to WORDS of them."""
 
-    def __init__(self, w: np.ndarray):
-        self.w = w
-        self.cache = WordCache(self.row)
+    WORDS = 300_000
 
-    def row(self, word: str) -> tuple[float, float, float]:
-        own = features(word)
-        return float(sum(self.w[bucket(f)] for f in own)), float(self.w[bucket("prev " + own[0])]), float(self.w[bucket("next " + own[0])])
+    def __init__(self, w: np.ndarray):
+        self.w = w.tolist()
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((1 << 16, 3))
 
     def rows(self, words: list[str]) -> np.ndarray:
-        known = {x: self.cache[x] for x in set(words)}
-        at = {x: k for k, x in enumerate(known)}
-        return np.array(list(known.values())).reshape(-1, 3)[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
+        """Words' own scores and those for the words after and before them."""
+        if len(self.index) > self.WORDS:
+            self.index.clear()
+        index, w, made = self.index, self.w, []
+        at = len(index)
+        for x in set(words).difference(index):
+            index[x] = at + len(made)
+            own = features(x)
+            made.append((sum([w[bucket(f)] for f in own]), w[bucket("prev " + own[0])], w[bucket("next " + own[0])]))
+        if at + len(made) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((at + len(made), 3))])
+        if made:
+            self.table[at : at + len(made)] = made
+        return self.table[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
 
     def emissions(self, words: list[str], sizes: list[int]) -> np.ndarray:
         """Of tokens of several documents in a row."""
