@@ -17,19 +17,21 @@ pieces; columns other than id and text don't matter to `pack_documents`; texts o
 from __future__ import annotations
 
 import bisect
+import functools
 import math
+import os
 import random
 import struct
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import WordCache, id_in, id_out, kept, scratch, stored
+from quillspan.llm.common import bounded_batches, id_in, id_out, kept, scratch, stored
 
 #: Pieces that one task packs together.
 BLOCK = 20_000
@@ -39,14 +41,16 @@ RESTARTS = 6
 LEAST_SAVING = 0.01
 
 
-class WordIds(WordCache):
-    """Token ids (little-endian 32-bit) of space-delimited words, kept up to a bounded size.
+class WordIds(dict):
+    """Token ids (little-endian 32-bit) of space-delimited words, kept up to WORDS of them, none of them over LONGEST characters
+    (about 200 bytes for a word of usual length).
 
     A word of letters, maybe with closing punctuation, is the ids of its letters and those of its punctuation, if the tokenizer's
     own normaliser turns its letters into letters only (some grow a combining mark, which would join the punctuation).
     Such letters go to the model itself, spelled as the tokenizer's byte-level step does (a character for each byte), which
     spares the whole encoder's work; this holds for a tokenizer of that kind only, and else the encoder is used."""
 
+    WORDS, LONGEST = 700_000, 64
     #: ASCII marks, of which any row behind letters is one part to the tokenizer (an apostrophe can begin another part).
     CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -57,56 +61,62 @@ class WordIds(WordCache):
         rest = [b for b in range(256) if b not in plain]
         self.spelling = {b: chr(256 + k) for k, b in enumerate(rest)}
         samples = ("The", "naïveté", "straße", "ночь", "ELLE", "日本", "end.)", "ÉLAN,")
-        self.direct = True
-        self.direct = all(self.of_letters(w) == self.encoded([w])[0] for w in samples)
+        self.direct = not self.of_letters(samples) and all(self[w] == self.encoded([w])[0] for w in samples)
+        self.clear()
 
     def encoded(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
-    def letters(self, core: str) -> bytes | None:
-        """Ids of a word of letters, or None if it has to go to the encoder."""
-        low = core.lower() if core.isascii() else self.tokenizer.normalizer.normalize_str(core)
-        if not low.isalpha():
-            return None
-        ids = [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.spelling))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def of_letters(self, word: str) -> bytes | None:
-        """Ids of a word of letters and closing punctuation, or None if it isn't one."""
-        core = word if word.isalpha() else word.rstrip(self.CLOSING)
-        if not self.direct or not core.isalpha():
-            return None
-        ids = self.get(core) or self.old.get(core)
-        if ids is None:
-            ids = self.letters(core)
-            if ids is None:
-                return None
-            self[core] = ids
-        if len(core) == len(word):
-            return ids
-        tail = word[len(core) :]
-        if tail not in self:
-            self[tail] = self.encoded([tail])[0]
-        return ids + self[tail]
+    def of_letters(self, words: Iterable[str]) -> list[str]:
+        """Keeps ids of the words that are letters, maybe with closing punctuation; returns the others."""
+        tokenize, normal, spelling, closing, pack = self.tokenizer.model.tokenize, self.tokenizer.normalizer.normalize_str, self.spelling, self.CLOSING, struct.pack
+        rest = []
+        for w in words:
+            core = w if w.isalpha() else w.rstrip(closing)
+            ids = self.get(core)
+            if ids is None or len(core) == len(w):
+                low = core.lower() if core.isascii() else normal(core)
+                if not low.isalpha() or not core.isalpha():
+                    rest.append(w)
+                    continue
+                found = [t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(spelling))]
+                self[core] = ids = pack(f"<{len(found)}I", *found)
+                if len(core) == len(w):
+                    continue
+            elif not core.isalpha():
+                rest.append(w)
+                continue
+            tail = w[len(core) :]
+            if tail not in self:
+                self[tail] = self.encoded([tail])[0]
+            self[w] = ids + self[tail]
+        return rest
 
     def ids(self, texts: list[list[str]]) -> Iterator[bytes]:
         """Ids of texts that are split into words. New words of all texts go to the encoder together; room is made only
         between two calls, so that all words of a call are here at its end."""
-        self.age()
-        old, odd, made = self.old, [], self.of_letters
-        for w in [w for w in set().union(*texts) if w not in self]:
-            ids = old.get(w) or made(w)
-            if ids is None:
-                odd.append(w)
-            else:
-                self[w] = ids
+        if len(self) > self.WORDS:
+            self.clear()
+        new = [w for w in set().union(*texts) if w not in self]
+        odd = self.of_letters(new) if self.direct else new
         self.update(zip(odd, self.encoded(odd), strict=True))
         for words in texts:
             yield b"".join(map(self.__getitem__, words))
-        for w in [w for w in odd if len(w) > self.LONGEST]:
+        for w in [w for w in new if len(w) > self.LONGEST]:
             del self[w]
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(tokenizer_json: str) -> WordIds:
+    """One cache for each Python worker, which its tasks share: ids depend on nothing but the file, and a new worker begins anew."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_json)
+    tokenizer.encode_special_tokens = True
+    return WordIds(tokenizer)
+
+
 def word_parts(text: str) -> list[str]:
     """Parts of a text between spaces and line ends. Tokens never hold white space, so the parts' ids joined are the text's."""
     return text.replace("\n", " ").split(" ")
@@ -116,14 +126,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, max_tokens: int, end_id: int
     """One row for each piece: id, piece, start, length, ids_crc32."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_json)
-        tokenizer.encode_special_tokens = True
-        cache, end, step = WordIds(tokenizer), end_id.to_bytes(4, "little"), 4 * max_tokens
+        cache, end, step = word_ids(tokenizer_json), end_id.to_bytes(4, "little"), 4 * max_tokens
         for f in frames:
             parts, size, begin = [], 0, 0
             texts = [t or "" for t in f["text"]]
@@ -140,6 +143,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, max_tokens: int, end_id: int
                     yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
                     parts, size, begin = [], 0, k + 1
 
+    bounded_batches(docs.sparkSession)
     return docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
