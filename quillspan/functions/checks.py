@@ -46,7 +46,7 @@ def is_ipv4(value: Column) -> Column:
 
 
 def is_private_ipv4(value: Column) -> Column:
-    return is_ipv4(value) & value.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|127\.)")
+    return is_ipv4(value) & value.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|127\.|169\.254\.)")
 
 
 def is_email(value: Column) -> Column:

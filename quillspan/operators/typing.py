@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import digits, left_context
+from quillspan.functions.text import digits, left_context, matches
 
 # Rules of the deterministic rescue in order (name, pattern, type, needed word, decision).
 RESCUE = [
@@ -24,13 +24,14 @@ PREFIXES = {
 
 
 def rescued(text: Column, s: Column, line_negative: Column, window_negative: Column) -> Column:
-    """struct<rule,type,decision,risk> after the first rescue rule whose pattern is in the value or in the window of 150
-    characters before and 20 behind; null if none. A negative line ignores, a negative window reviews."""
+    """struct<rule,type,decision,risk> after the first rescue rule whose pattern is in the value, or in the window of 150
+    characters before and 20 behind at a place that overlaps the span; null if none. A negative line ignores, a negative window reviews."""
     begin = F.greatest(F.lit(0), s["start"] - 150)
     window = F.substring(text, begin + 1, s["end"] + 20 - begin)
     out = F.lit(None)
     for name, pattern, kind, word, decision in reversed(RESCUE):
-        hit = s["value"].rlike(pattern) | window.rlike(pattern)
+        here = lambda m: (begin + m["start"] < s["end"]) & (begin + m["end"] > s["start"])
+        hit = s["value"].rlike(pattern) | (window.rlike(pattern) & F.exists(matches(window, pattern), here))
         if word:
             hit = hit & F.contains(F.lower(window), F.lit(word))
         d = F.when(line_negative, "ignore").when(window_negative, "review").otherwise(decision)

@@ -263,7 +263,7 @@ def pol_01(spark, d):
 
 
 @query("ctx_07_false_positives", f"""WITH {fx.SQL_DETECTED} SELECT doc_id, s AS "start", type FROM found f WHERE NOT (type='IP' AND list_max(list_transform(string_split(value, '.'), lambda x: TRY_CAST(x AS INT))) <= 255
-  AND regexp_matches(value, '^(10[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.]|127[.])'))""")
+  AND regexp_matches(value, '^(10[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.]|127[.]|169[.]254[.])'))""")
 def ctx_07(spark, d):
     """What the drop leaves; no driver document has one of the marker contexts, so private addresses go only."""
     from quillspan.operators import rules

@@ -25,6 +25,14 @@ def test_columns(spark):
     assert (r.trim.start, r.trim.end, r.trim.value) == (4, 6, "ab")
 
 
+def test_a_rescue_must_overlap_the_span(spark):
+    text = "Write to ann@x.org, then ask for Mr Lee"
+    spans = [(9, 18, "ann@x.org"), (36, 39, "Lee"), (9, 12, "ann")]
+    df = spark.createDataFrame([(text, s) for s in spans], "t string, s struct<start:int,end:int,value:string>")
+    got = [r.x and r.x.rule for r in df.select(T.rescued(F.col("t"), F.col("s"), F.lit(False), F.lit(False)).alias("x")).collect()]
+    assert got == ["email_full", None, "email_full"]
+
+
 def test_frames(spark):
     spans = spark.createDataFrame([(1, i, i * 10, i * 10 + 5, "A" if i % 2 else "B", 0.95) for i in range(6)], "doc_id long, n int, start int, end int, label string, confidence double")
     assert [r.n for r in T.verifier_candidates(spans, ["A"], 2).orderBy("n").collect()] == [1, 3]
