@@ -169,3 +169,53 @@ def snk_05(spark, d):
     m = F.map_entries(writers.prediction_map(F.col("spans")))
     places = lambda e: F.array_join(F.transform(e["value"], lambda x: F.concat(x[0].cast("string"), F.lit("-"), x[1].cast("string"))), "+")
     return spans.select("doc_id", F.array_join(F.transform(m, lambda e: F.concat(e["key"], F.lit("="), places(e))), ";").alias("spans"))
+
+
+#: Texts with the values that the contextual rules find in them: (label, value, confidence).
+RULE_CASES = [
+    ("Student ID: 123456789 and UAC ID: 123 456 789", [("STUDENT_ID", "123456789", 1.0), ("UAC_ID", "123 456 789", 1.0)]),
+    ("UAC123456789 is a lot code", []),
+    ("Passport number N1234567, passport held, expires 03/27", [("AU_PASSPORT", "N1234567", 1.0), ("PASSPORT_EXPIRY", "03/27", 1.0)]),
+    ("TFN 123 456 782; BSB is 062-000", [("AU_TFN", "123 456 782", 1.0), ("AU_BANK_ACCOUNT", "062-000", 1.0)]),
+    ("Medicare: 2123 45670 1", [("MEDICARE_NUMBER", "2123 45670 1", 1.0)]),
+    ("Staff ID E123456 / Personal email ann@x.org", [("EMPLOYEE_NUMBER", "E123456", 1.0), ("EMAIL", "ann@x.org", 1.0)]),
+    ("Placeholder email a@b.cd", []),
+    ("Mobile: 0412 345 678", [("PHONE", "0412 345 678", 1.0)]),
+    ("Expected salary $90k pa", [("SALARY_WAGE_EXPECTATION", "$90k pa", 0.6), ("SALARY", "$90k pa", 0.6)]),
+    ("Card: **** **** **** 1234", [("PAYMENT_CARD_NUMBER", "**** **** **** 1234", 0.6)]),
+    ("had grief therapy (weekly)", [("COUNSELLING_RECORDS", "grief therapy (weekly)", 0.6)]),
+    ("Face: face ID on file", [("FACIAL_RECOGNITION", "face ID on file", 0.6)]),
+    ("Full name: Ann Mary Lee", [("PERSON", "Ann Mary Lee", 1.0)]),
+    ("D.O.B. 1/2/1999", [("DATE_OF_BIRTH", "1/2/1999", 1.0)]),
+    ("Contract: casual", [("CONTRACT_TYPE", "casual", 0.6)]),
+]
+_EXPECTED = ", ".join(f"({k}, '{label}', '{value}', {confidence}, {text.index(value)})" for k, (text, found) in enumerate(RULE_CASES) for label, value, confidence in found)
+
+
+@query("det_04_05_rule_cases", f"""SELECT CAST(k AS INT) AS case_id, label, value, confidence::DOUBLE AS confidence, CAST(s AS INT) AS "start" FROM (VALUES {_EXPECTED}) v(k, label, value, confidence, s)""")
+def det_04_05_cases(spark, d):
+    from quillspan.operators import rules
+
+    cases = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(RULE_CASES)], "case_id int, text string")
+    return cases.select("case_id", F.explode(rules.contextual(F.col("text"))).alias("x")).select("case_id", F.col("x.type").alias("label"), "x.value", "x.confidence", "x.start")
+
+
+#: Texts with one span (type, value) and whether its context makes it a false positive.
+DROP_CASES = [
+    ("Switchboard phone: 0412 345 678", "PHONE", "0412 345 678", True), ("mobile: 0499 888 777", "PHONE", "0499 888 777", False),
+    ("server ip 203.0.113.7", "IP", "203.0.113.7", True), ("login from 8.8.8.8", "IP", "8.8.8.8", False), ("host 169.254.1.2", "IP", "169.254.1.2", True),
+    ("write to ops@x.org (internal-crm)", "EMAIL", "ops@x.org", True), ("write to ann@x.org", "EMAIL", "ann@x.org", False),
+    ("loyalty card 4111 1111 1111 1111", "PAYMENT_CARD_NUMBER", "4111 1111 1111 1111", True), ("card used 4111 1111 1111 1111", "PAYMENT_CARD_NUMBER", "4111 1111 1111 1111", False),
+    ("class average ABCD1234: D 70", "SUBJECT_RESULTS", "ABCD1234: D 70", True), ("work order 123 456 782", "AU_TFN", "123 456 782", True), ("tfn 123 456 782 on work order", "AU_TFN", "123 456 782", False),
+    ("sample plate ABC-123", "VEHICLE_ID", "ABC-123", True), ("branch code 062-000", "AU_BANK_ACCOUNT", "062-000", True), ("bsb: 062-000", "AU_BANK_ACCOUNT", "062-000", False),
+    ("created: 1/2/2020", "PASSPORT_EXPIRY", "1/2/2020", True), ("postcode 2600", "ADDRESS", "2600", True),
+]
+
+
+@query("ctx_07_drop_cases", "SELECT CAST(k AS INT) AS case_id, dropped FROM (VALUES " + ", ".join(f"({k}, {str(c[3]).lower()})" for k, c in enumerate(DROP_CASES)) + ") v(k, dropped)")
+def ctx_07_cases(spark, d):
+    from quillspan.operators import rules
+
+    rows = [(k, t, (t.index(v), t.index(v) + len(v), kind, v, 0.9, None, "model", [])) for k, (t, kind, v, _) in enumerate(DROP_CASES)]
+    cases = spark.createDataFrame(rows, f"case_id int, text string, s {rules.SPANS[6:-1]}")
+    return cases.select("case_id", rules.is_false_positive(F.col("text"), F.col("s")).alias("dropped"))
