@@ -116,6 +116,22 @@ def id_out(col: str = "id") -> Column:
     return F.when(F.col(col) != F.lit(NO_ID), F.col(col))
 
 
+_held: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable):
+    """A cache of pure functions that the tasks of a Python worker share. A worker holds one at a time: another name's goes first."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def drop_caches() -> None:
+    """For tasks without a cache of their own: frees what an earlier operator's tasks left in this worker."""
+    _held.clear()
+
+
 class WordCache(dict):
     """Values of words, made by `make` and kept up to a bounded number, in two generations: when the young one is full it
     becomes the old one, and words that are met again move on, so that frequent words stay. Words over LONGEST characters

@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import WordCache, bounded_batches, id_in, id_out
+from quillspan.llm.common import WordCache, bounded_batches, id_in, id_out, worker_cache
 
 WINDOW, LITERALS, MIN_ITEM, PART_WINDOWS = 8, 5, 5, 2_000_000
 UNITS = frozenset("mm cm m km mg g kg t ml l s sec min h hr hours minutes seconds days weeks months years inch inches ft feet yd yards mile miles lb lbs oz kb mb gb tb hz khz mhz ghz v kw w j kj cal kcal eur usd gbp euro euros dollar dollars pound pounds cent cents percent % € $ £".split())
@@ -212,7 +212,7 @@ def _sent(docs: DataFrame, items: list[tuple[int, str]], window: int) -> Broadca
 
 def _search(items: Broadcast):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = word_codes()
+        cache = worker_cache("template words", word_codes)
         for f in frames:
             rows = [(i, *m) for i, t in zip(f["id"], f["text"], strict=True) for m in match(t, cache, items.value)]
             yield pd.DataFrame(rows, columns=["id", "item_id", "n_windows", "n_words", "item_words", "exact", "first_word", "last_word"])
@@ -222,7 +222,7 @@ def _search(items: Broadcast):
 
 def _matcher(items: Broadcast):
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache = word_codes()
+        cache = worker_cache("template words", word_codes)
         for texts in series:
             yield pd.Series([bool(match(t, cache, items.value)) for t in texts], dtype="bool")
 

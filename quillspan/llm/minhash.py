@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import id_in, id_out, kept, scratch, stored, unique_join
+from quillspan.llm.common import drop_caches, id_in, id_out, kept, scratch, stored, unique_join
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 #: Entries of the table of shingle counts that orders shingles by rarity.
@@ -110,6 +110,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     carried = ["id", "text"] if with_text else ["id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_caches()
         orders = _borrow_orders()
         for b in batches:
             rows = []

@@ -17,7 +17,6 @@ pieces; columns other than id and text don't matter to `pack_documents`; texts o
 from __future__ import annotations
 
 import bisect
-import functools
 import math
 import os
 import random
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bounded_batches, id_in, id_out, kept, scratch, stored
+from quillspan.llm.common import bounded_batches, id_in, id_out, kept, scratch, stored, worker_cache
 
 #: Pieces that one task packs together.
 BLOCK = 20_000
@@ -106,9 +105,7 @@ class WordIds(dict):
             del self[w]
 
 
-@functools.lru_cache(maxsize=1)
 def word_ids(tokenizer_json: str) -> WordIds:
-    """One cache for each Python worker, which its tasks share: ids depend on nothing but the file, and a new worker begins anew."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -126,7 +123,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, max_tokens: int, end_id: int
     """One row for each piece: id, piece, start, length, ids_crc32."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, end, step = word_ids(tokenizer_json), end_id.to_bytes(4, "little"), 4 * max_tokens
+        cache, end, step = worker_cache(f"ids of {tokenizer_json}", lambda: word_ids(tokenizer_json)), end_id.to_bytes(4, "little"), 4 * max_tokens
         for f in frames:
             parts, size, begin = [], 0, 0
             texts = [t or "" for t in f["text"]]

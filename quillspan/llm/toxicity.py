@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bounded_batches, id_in, id_out
+from quillspan.llm.common import bounded_batches, drop_caches, id_in, id_out
 
 #: Bounds of the training sample: clean and toxic documents.
 SAMPLE_DOCS = (3000, 1500)
@@ -323,6 +323,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     """id, score and spans (array of start, end, marginal) for each row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_caches()
         weights = Weights(model["w"]) if model else None
         for f in frames:
             yield pd.concat([f[["id"]], pd.DataFrame(score_texts(f["text"].tolist(), model, weights, with_spans), columns=["score", "spans"], index=f.index)], axis=1)
@@ -337,6 +338,7 @@ def drop_toxic(docs: DataFrame, model: dict | None, threshold: float = 0.3, text
     """docs whose score is below the threshold, with all columns; no shuffle."""
 
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        drop_caches()
         weights = Weights(model["w"]) if model else None
         for texts in frames:
             yield pd.Series([s for s, _ in score_texts(texts.tolist(), model, weights, False)], dtype="float64")
