@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspan.plans import data, extra, metrics, more, spans
+from quillspan.plans import context, data, extra, metrics, more, spans
 
-MODULES = (spans, metrics, data, more, extra)
+MODULES = (spans, metrics, data, more, extra, context)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.SQL.items()}

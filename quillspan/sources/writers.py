@@ -35,3 +35,13 @@ def prediction_map(spans: Column) -> Column:
 def write_predictions(docs: DataFrame, path: str, id_col: str = "doc_id", spans_col: str = "spans", mode: str = "errorifexists") -> None:
     """Prediction lines: id and spans as prediction_map gives them. Spark's tasks write side by side."""
     write_jsonl(docs.select(F.col(id_col).alias("example_id"), prediction_map(F.col(spans_col)).alias("spans")), path, mode)
+
+
+def markdown_table(summary: DataFrame, rows: int = 200) -> str:
+    """A small summary as a Markdown table, in its own order; a bar in a cell is escaped. More than `rows` rows are an error, not a cut."""
+    found = summary.take(rows + 1)
+    if len(found) > rows:
+        raise ValueError(f"a report has {rows} rows at most")
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [summary.columns, ["---"] * len(summary.columns), *found]
+    return "".join("| " + " | ".join(map(cell, x)) + " |\n" for x in lines)
