@@ -164,10 +164,10 @@ def buckets(spans: Column, low: float, high: float) -> Column:
     return F.struct(F.filter(spans, lambda s: c(s) >= high).alias("redact"), F.filter(spans, lambda s: (c(s) >= low) & (c(s) < high)).alias("review"), F.filter(spans, lambda s: c(s) < low).alias("ignore"))
 
 
-def entity_scores(tokens: DataFrame, top: int = 3) -> DataFrame:
+def entity_scores(tokens: DataFrame, top: int = 3, digits: int = 9) -> DataFrame:
     """Of tokens (doc_id, span, tag, prob, tags as B-X, I-X, E-X, S-X): for each span the entities with the greatest sum of their
-    tags' mean probabilities, by rank."""
+    tags' mean probabilities, by rank. Sums are rounded before they are ranked: equal ones that the order of adding parts are ties, which go by name."""
     mean = tokens.filter(F.col("tag").rlike("^[BIES]-")).groupBy("doc_id", "span", "tag").agg(F.avg("prob").alias("p"))
-    entity = mean.groupBy("doc_id", "span", F.substring("tag", 3, 1000).alias("entity")).agg(F.sum("p").alias("score"))
+    entity = mean.groupBy("doc_id", "span", F.substring("tag", 3, 1000).alias("entity")).agg(F.round(F.sum("p"), digits).alias("score"))
     w = Window.partitionBy("doc_id", "span").orderBy(F.desc("score"), "entity")
     return entity.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

@@ -159,7 +159,7 @@ def rsp_03(spark, d):
 def typ_08(spark, d):
     tag = F.element_at(F.array(*map(F.lit, ("B-A", "I-A", "E-A", "S-B", "O"))), (F.col("l_partkey") % 5 + 1).cast("int"))
     t = fx.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).cast("int").alias("span"), tag.alias("tag"), (F.col("l_suppkey") % 8 / 8.0).alias("prob"))
-    return align.entity_scores(t).withColumn("score", F.round("score", 9))
+    return align.entity_scores(t)
 
 
 @query("snk_05_prediction_map", f"""WITH {fx.SQL}, k AS (SELECT doc_id, label || ': ' || (n % 2) AS key, list([s, e] ORDER BY s, e) AS places FROM gold GROUP BY ALL)

@@ -57,6 +57,12 @@ def test_labels_and_targets(spark):
     assert A.aliased(spans, {}).filter("note IS NOT NULL").count() == 0
 
 
+def test_entity_scores_rank_rounded_sums(spark):
+    # 0.1 + 0.2 is 0.30000000000000004 as a double: B must not pass A by it
+    tokens = spark.createDataFrame([(1, 0, "S-A", 0.3), (1, 0, "B-B", 0.1), (1, 0, "E-B", 0.2), (1, 0, "S-C", 0.4), (1, 0, "O", 0.9)], "doc_id long, span int, tag string, prob double")
+    assert sorted((r["rank"], r["entity"], r["score"]) for r in A.entity_scores(tokens).collect()) == [(1, "C", 0.4), (2, "A", 0.3), (3, "B", 0.3)]
+
+
 def test_writers_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q"\nb, c', None), (2, "é", 0.5)], "id long, text string, score double")
     writers.write_jsonl(df, str(tmp_path / "j"), gzip=True)
