@@ -28,12 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors.
-    The files go when the driver ends."""
+    The files go when the driver ends. Without a codec they have the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if _scratch:
         _scratch[-1].append(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -56,11 +56,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, codec: str | None = None) -> DataFrame:
     """df stored so that it outlives the innermost scratch."""
     inner = _scratch.pop() if _scratch else None
     try:
-        return stored(df)
+        return stored(df, codec)
     finally:
         if inner is not None:
             _scratch.append(inner)

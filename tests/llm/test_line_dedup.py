@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -51,3 +52,21 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert L.strip_boilerplate(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_stored_tables_are_small(spark, tmp_path, monkeypatch):
+    """Lines and result lie on the disk at once beside their shuffle, so each must be well under its plain size."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(2000)]
+    rows = [(i, f"http://h{i % 9}.org/{i}", "".join(f"<p>{' '.join(rng.choices(words, k=30))}</p>" for _ in range(20))) for i in range(1000)]
+    size = lambda df: sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+    ratios, real = {}, L.stored
+
+    def ratio(name, df):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        ratios[name] = size(df) / size(spark.read.parquet(str(tmp_path / name)))
+        return df
+
+    monkeypatch.setattr(L, "stored", lambda df, *a: ratio("lines", real(df, *a)) if "lines" in df.columns else real(df, *a))
+    ratio("result", L.strip_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)))
+    assert len(ratios) == 2 and max(ratios.values()) < 0.75, ratios
